@@ -1,9 +1,9 @@
 """Removal of near-duplicate lines by an exact set-similarity join, in DataFrame functions alone.
 
-A line is the set of its words (lower-case A-Z). A line is removed if an earlier line (by doc_id, row, place) has
+A line is the set of its words. A line is removed if an earlier line (by doc_id, row, place) has
 Jaccard similarity of at least `share` with it. Lines with fewer than `least` different words are never removed.
 
-1. Word frequencies of the whole corpus, in BUCKETS counters, order each line's words by rarity.
+1. Word frequencies of the whole corpus, in BUCKETS counters, and their lengths order each line's words by rarity.
 2. Lines with equal sets become one class by a partial aggregation; all but its first line go.
 3. Two classes at `share` have a common word among their rarest n - ceil(share * n) + 1 (prefix filter). Classes that
    share one are a candidate if their sizes (length filter) and the places of that word (positional filter) leave
@@ -19,29 +19,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.common import WORD_SPACE, Scratch, fixed
+from tarnbeck.llm.common import Scratch, fixed
 
 SHARE, LEAST = (85, 100), 5
-#: Counters of the rarity order: of a fixed number, so that the table that every task holds doesn't grow.
-BUCKETS = 4096
-_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Counters of the rarity order, a power of two: a fixed number, so that the table that every task holds doesn't grow.
+BUCKETS = 1 << 17
 
 
-def folded(text: Column) -> Column:
-    """With A-Z as a-z; other letters stay."""
-    return F.translate(text, _A, _Z)
+def spaced(text: Column) -> Column:
+    """With a space for all other white space but line ends, so that words split at single spaces."""
+    return F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.regexp_replace(text, "[\\x09\\x0B-\\x0D]", " ")).otherwise(text)
 
 
 def word_hashes(line: Column) -> Column:
-    """Hashes of the different words of a line."""
-    return F.array_distinct(F.array_remove(F.transform(F.split(line, WORD_SPACE + "+"), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    """Hashes of the different words of a spaced line."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def rarity(rows: DataFrame) -> Column:
-    """From a word's hash to its rarity class: the logarithm of its counter."""
+    """The rarity class of each counter: the logarithm of how many words it has counted."""
     # Outer here and below, as a plain explode makes Spark add a filter that splits the text once more.
-    words = rows.select(F.explode_outer(F.split(folded(F.col("text")), WORD_SPACE + "+")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows
+    words = rows.select(F.explode_outer(F.split(F.regexp_replace("text", "\n", " "), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows
     level = [0] * BUCKETS
     for r in counts:
         level[r["k"]] = r["n"].bit_length()
@@ -60,11 +59,12 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     """rid (row number of fixed docs), pos of every line that an earlier line stands for."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), spaced(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     level = rarity(rows)
-    # A word is its rarity class above 58 bits of its hash; sorting puts rare words first.
-    mask = F.lit((1 << 58) - 1)
-    ordered = F.sort_array(F.transform(word_hashes(folded(F.col("line"))), lambda h: F.shiftleft(F.element_at(level, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")), 58).bitwiseOR(h.bitwiseAND(mask))))
+    # A word is its rarity class, then its length, then 52 bits of its hash: sorting puts rare words first, and long
+    # ones first among the many rare words that the counters don't tell apart.
+    key = lambda w: F.when(w == "", F.lit(-1)).otherwise(F.shiftleft(F.get(level, F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 58).bitwiseOR(F.shiftleft(63 - F.least(F.octet_length(w), F.lit(63)).cast("long"), 52)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 52) - 1))))
+    ordered = F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split("line", " "), key)), F.lit(-1).cast("long")))
     # One struct from words bound to a lambda's name: each line is split once. Short lines go after it is written.
     digest = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("d1"), F.xxhash64(F.lit(7), w).alias("d2"), F.when(F.size(w) >= least, F.slice(w, 1, prefix_size(F.size(w), share))).alias("head"))
     own = _lines(rows).select("rid", "doc_id", "pos", F.element_at(F.transform(F.array(ordered), digest), 1).alias("s"))
@@ -81,8 +81,8 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     need = F.ceil((F.col("a_n") + F.col("b_n")) * share[0] / F.lit(share[0] + share[1]))
     other = (F.col("a_d1") < F.col("b_d1")) | ((F.col("a_d1") == F.col("b_d1")) & (F.col("a_d2") < F.col("b_d2")))
     length = (F.least("a_n", "b_n") * share[1] >= F.greatest("a_n", "b_n") * share[0])
-    # The shared word may be the last common one before others: what follows it on either side bounds the rest.
-    rest = 1 + F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) - 1 >= need
+    # A match has a first common word, and no other common one before it: what follows bounds the rest.
+    rest = 1 + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) - 1 >= need
     pairs = scratch.keep(a.join(b, "w").where(other & length & rest).select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "line-pairs")
     scratch.drop(met)
     # Full sets of the candidates, from their first line's text.
@@ -90,7 +90,7 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     where = kinds.join(wanted, ["d1", "d2"], "left_semi").select("d1", "d2", "first", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos"))
     by_text = where.groupBy("rid").agg(F.collect_list(F.struct("pos", "d1", "d2", "first")).alias("at"))
     full = rows.select("rid", "text").join(by_text, "rid").select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-    full = scratch.keep(full.select("at.d1", "at.d2", "at.first", F.array_sort(word_hashes(folded(F.element_at("lines", F.col("at.pos") + 1)))).alias("words")), "line-sets")
+    full = scratch.keep(full.select("at.d1", "at.d2", "at.first", F.array_sort(word_hashes(F.element_at("lines", F.col("at.pos") + 1))).alias("words")), "line-sets")
     x, y = (full.select(F.col("d1").alias(f"{s}_d1"), F.col("d2").alias(f"{s}_d2"), F.col("first").alias(f"{s}_first"), F.col("words").alias(f"{s}_words")) for s in "ab")
     both = pairs.join(x, ["a_d1", "a_d2"]).join(y, ["b_d1", "b_d2"]).withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
     match = both.where(F.col("common") * share[1] >= (F.size("a_words") + F.size("b_words") - F.col("common")) * share[0])
@@ -132,7 +132,7 @@ ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 words AS (
-  SELECT doc_id, pos, list_sort(list_distinct(list_filter(regexp_split_to_array(translate(line, '{_A}', '{_Z}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS ws FROM lines),
+  SELECT doc_id, pos, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS ws FROM lines),
 kinds AS (SELECT ws, min((doc_id, pos)) AS first, len(ws) AS n, row_number() OVER () AS k FROM words WHERE len(ws) >= {LEAST} GROUP BY ws),
 toks AS (SELECT k, n, unnest(ws) AS w FROM kinds),
 freq AS (SELECT w, count(*) AS f FROM toks GROUP BY w),
