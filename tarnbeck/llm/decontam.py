@@ -1,6 +1,6 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions alone.
 
-Texts are lists of five-word shingles (words lower-cased A-Z; with fewer words, the whole as one). A window has as
+Texts are lists of five-word shingles (words lower-cased; with fewer words, the whole as one). A window has as
 many shingles as the item, at any place of the document (a shorter document is one window). A document is leaked an
 item if a window's shingles, weighted by how often they occur, have weighted Jaccard similarity with the item's of at
 least `share`.
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import WORD_SPACE, Scratch, fixed
-from tarnbeck.llm.lines import _A, _Z, folded
 
 K, SHARE, RADIUS = 5, (75, 100), 20
 #: Item shingles that are broadcast at most (16 bytes each); a larger benchmark is joined by a shuffle.
@@ -33,7 +32,7 @@ BROADCAST_ROWS = 500_000
 
 def shingle_hashes(text: Column) -> Column:
     """The hashes of a text's shingles in order. The words are bound to a lambda's name, so they are split once."""
-    words = F.transform(F.filter(F.split(folded(text), WORD_SPACE + "+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    words = F.transform(F.filter(F.split(F.lower(text), WORD_SPACE + "+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     some = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (K - 1)), lambda i: F.xxhash64(F.slice(w, i, K)))
     every = lambda w: F.when(F.size(w) >= K, some(w)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
     return F.element_at(F.transform(F.array(words), every), 1)
@@ -129,7 +128,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int]
 
 def _sql_shingles(table: str, key: str) -> str:
     return f"""SELECT {key}, CASE WHEN len(w) >= {K} THEN list_transform(generate_series(1, len(w) - {K - 1}), lambda i: array_to_string(w[i:i + {K - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
-  FROM (SELECT {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table})"""
+  FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table})"""
 
 
 ORACLE = f"""
