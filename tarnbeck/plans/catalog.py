@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tarnbeck.plans import company, corpus  # noqa: F401
+from tarnbeck.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
+
+FLAGSHIP = "G01_grep_ranking"
