@@ -94,7 +94,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE,
     starts = F.sequence(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)), F.least(F.col("pos"), last))
     windows = hits.where(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)) <= F.least(F.col("pos"), last)).select("rid", "item", "size", F.explode(starts).alias("start")).distinct()
     by_doc = scratch.keep(windows.groupBy("rid", "item", "size").agg(F.collect_list("start").alias("starts")), "windows")
-    found = marked.join(by_doc, "rid").select("rid", "doc_id", "item", "size", "shingles", F.explode("starts").alias("start"))
+    # The texts move, not their shingles, at every size in the same way.
+    found = with_shingles(rows.join(by_doc.hint("merge"), "rid")).select("rid", "doc_id", "item", "size", "shingles", F.explode("starts").alias("start"))
     inside = scratch.keep(found.select("rid", "doc_id", "item", "start", F.explode(F.slice("shingles", F.col("start") + 1, F.col("size"))).alias("h")), "window-shingles")
     # Written, so that the long expression of a fingerprint isn't copied into each of its uses.
     prints = scratch.keep(_fingerprints(inside, ["rid", "item", "start"]), "prints")
