@@ -6,8 +6,8 @@ Jaccard similarity of at least `share` with it. Lines with fewer than `least` di
 1. Word frequencies of the whole corpus, in BUCKETS counters, and their lengths order each line's words by rarity.
 2. Lines with equal sets become one class by a partial aggregation; all but its first line go.
 3. Two classes at `share` have a common word among their rarest n - ceil(share * n) + 1 (prefix filter). Classes that
-   share one are a candidate if their sizes (length filter) and the places of that word (positional filter) leave
-   room for enough common words.
+   share one are a candidate if their sizes (length filter), the places of that word (positional filter) and their
+   words counted by three bits of the hash leave room for enough common words.
 4. Candidates are compared on their full sets; of a match, the class that starts later loses its first line as well.
 
 Null texts have one empty line; they and null ids keep their row. Repeated rows are documents of their own, the first
@@ -28,7 +28,11 @@ BUCKETS = 1 << 17
 
 def spaced(text: Column) -> Column:
     """With a space for all other white space but line ends, so that words split at single spaces."""
-    return F.when(text.rlike("[\\x09\\x0B-\\x0D]"), F.regexp_replace(text, "[\\x09\\x0B-\\x0D]", " ")).otherwise(text)
+    blanks = ("\t", "\x0b", "\x0c", "\r")
+    some = F.contains(text, F.lit(blanks[0]))
+    for b in blanks[1:]:
+        some = some | F.contains(text, F.lit(b))
+    return F.when(some, F.regexp_replace(text, "[\\x09\\x0B-\\x0D]", " ")).otherwise(text)
 
 
 def word_hashes(line: Column) -> Column:
@@ -39,7 +43,7 @@ def word_hashes(line: Column) -> Column:
 def rarity(rows: DataFrame) -> Column:
     """The rarity class of each counter: the logarithm of how many words it has counted."""
     # Outer here and below, as a plain explode makes Spark add a filter that splits the text once more.
-    words = rows.select(F.explode_outer(F.split(F.regexp_replace("text", "\n", " "), " ")).alias("w"))
+    words = rows.select(F.explode_outer(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows
     level = [0] * BUCKETS
     for r in counts:
@@ -63,27 +67,35 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     level = rarity(rows)
     # A word is its rarity class, then its length, then 52 bits of its hash: sorting puts rare words first, and long
     # ones first among the many rare words that the counters don't tell apart.
-    key = lambda w: F.when(w == "", F.lit(-1)).otherwise(F.shiftleft(F.get(level, F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 58).bitwiseOR(F.shiftleft(63 - F.least(F.octet_length(w), F.lit(63)).cast("long"), 52)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 52) - 1))))
-    ordered = F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split("line", " "), key)), F.lit(-1).cast("long")))
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rare = F.shiftleft(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 58)
+        return rare.bitwiseOR(F.shiftleft((63 - F.least(F.octet_length(w), F.lit(63))).cast("long"), 52)).bitwiseOR(h.bitwiseAND(F.lit((1 << 52) - 1)))
+
+    ordered = F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split("line", " "), key)), key(F.lit(""))))
     # One struct from words bound to a lambda's name: each line is split once. Short lines go after it is written.
-    digest = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("d1"), F.xxhash64(F.lit(7), w).alias("d2"), F.when(F.size(w) >= least, F.slice(w, 1, prefix_size(F.size(w), share))).alias("head"))
+    digest = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("d1"), F.xxhash64(F.lit(7), w).alias("d2"), F.when(F.size(w) >= least, F.slice(w, 1, prefix_size(F.size(w), share))).alias("head"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.get(F.array(*[F.lit(1 << (8 * i)).cast("long") for i in range(8)]), x.bitwiseAND(F.lit(7)).cast("int"))).alias("spread"))
     own = _lines(rows).select("rid", "doc_id", "pos", F.element_at(F.transform(F.array(ordered), digest), 1).alias("s"))
     kept = scratch.keep(own, "lines")
     lines = kept.where(F.col("s.n") >= least).select("rid", "doc_id", "pos", "s.*")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
-    kinds = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("head").alias("head"))
+    kinds = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("spread").alias("spread"))
     kinds = scratch.keep(kinds, "kinds")
     # Prefix words that two classes share.
-    heads = kinds.select("d1", "d2", "n", F.posexplode("head").alias("i", "w"))
+    heads = kinds.select("d1", "d2", "n", "spread", F.posexplode("head").alias("i", "w"))
     common = heads.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w")
     met = scratch.keep(heads.join(common, "w"), "prefixes")
-    a, b = (met.select("w", *[F.col(c).alias(f"{s}_{c}") for c in ("d1", "d2", "n", "i")]) for s in "ab")
+    a, b = (met.select("w", *[F.col(c).alias(f"{s}_{c}") for c in ("d1", "d2", "n", "i", "spread")]) for s in "ab")
     need = F.ceil((F.col("a_n") + F.col("b_n")) * share[0] / F.lit(share[0] + share[1]))
     other = (F.col("a_d1") < F.col("b_d1")) | ((F.col("a_d1") == F.col("b_d1")) & (F.col("a_d2") < F.col("b_d2")))
     length = (F.least("a_n", "b_n") * share[1] >= F.greatest("a_n", "b_n") * share[0])
     # A match has a first common word, and no other common one before it: what follows bounds the rest.
     rest = 1 + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) - 1 >= need
-    pairs = scratch.keep(a.join(b, "w").where(other & length & rest).select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "line-pairs")
+    # Words in one line alone also show in the counts of words by three bits of their hash (8 bits a count).
+    lane = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+    apart = sum((F.abs(lane(F.col("a_spread"), i) - lane(F.col("b_spread"), i)) for i in range(1, 8)), F.abs(lane(F.col("a_spread"), 0) - lane(F.col("b_spread"), 0)))
+    counts = (F.greatest("a_n", "b_n") > 255) | (apart <= F.col("a_n") + F.col("b_n") - 2 * need)
+    pairs = scratch.keep(a.join(b, "w").where(other & length & rest & counts).select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "line-pairs")
     scratch.drop(met)
     # Full sets of the candidates, from their first line's text.
     wanted = pairs.select(F.col("a_d1").alias("d1"), F.col("a_d2").alias("d2")).union(pairs.select("b_d1", "b_d2")).distinct()
