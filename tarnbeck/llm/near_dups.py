@@ -3,9 +3,10 @@
 1. Every text gives the digest of its shingle set, HASHES minima, of these the low BITS bits packed into words, and
    BANDS band keys of the full minima. Texts with equal sets become one class at once (a partial aggregation), so a
    group of copies costs one row further on.
-2. Classes that share a band key are candidates. In each bucket its smallest class is the pivot; pairs with a pivot
-   come first. A pair's similarity is estimated from the equal packed values, counted by bits and corrected for
-   chance collisions; pairs whose estimate is hopeless (7 standard deviations below the bound) go no further.
+2. Classes that share a band key are candidates. In each bucket the class with the most company in all its buckets is
+   the pivot; pairs with a pivot come first. A pair's similarity is estimated from the equal packed values, counted by
+   bits and corrected for chance collisions; pairs whose estimate is hopeless (5 standard deviations below the bound)
+   go no further.
 3. The full sets of all other pairs are compared. Components of the links so far then say which buckets still hold
    classes of different components, and only pairs across components are compared, until no bucket is open: members
    of one component need no further pair, so a group of thousands costs about one comparison for each member.
@@ -97,7 +98,7 @@ def estimate(a: str, b: str) -> F.Column:
 def hopeless_below(share: float) -> float:
     chance = 1 / (1 << BITS)
     p = share + (1 - share) * chance
-    return share - 7 * math.sqrt(p * (1 - p) / HASHES) / (1 - chance)
+    return share - 5 * math.sqrt(p * (1 - p) / HASHES) / (1 - chance)
 
 
 def _verify(share: tuple[int, int]):
@@ -138,8 +139,13 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     kinds = sketch.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("rid").alias("cls"))
     heads = sketch.join(kinds.select(F.col("cls").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cls"), "bands", "packed")
     spread = heads.select("cls", F.explode("bands").alias("key"))
-    shared = spread.groupBy("key").agg(F.min("cls").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
-    members = scratch.keep(spread.join(shared, "key"), "buckets")
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = scratch.keep(spread.join(shared, "key"), "met")
+    # A bucket's pivot is its class with the most company in all its buckets: the original among its copies.
+    company = met.groupBy("cls").agg(F.sum("n").alias("company"))
+    pivot = met.join(company, "cls").groupBy("key").agg(F.max_by("cls", F.struct("company", -F.col("cls"))).alias("pivot"))
+    members = scratch.keep(met.select("key", "cls").join(pivot, "key"), "buckets")
+    scratch.drop(met)
     some = members.select(F.col("cls").alias("rid")).distinct()
     packed = scratch.keep(sketch.join(some, "rid", "left_semi").select("rid", "packed"), "packed")
     texts = scratch.keep(rows.select("rid", "text").join(some, "rid", "left_semi"), "texts")
@@ -167,7 +173,7 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
 
     # Each class with the pivot that it shares most buckets with.
     pivots = members.where("cls <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cls").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    best = pivots.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
+    best = pivots.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done.append(check(best))
     links = done[0].where("linked").select("a", "b")
     root = roots()
@@ -177,14 +183,15 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
         spans = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
         left = at.join(spans, "key", "left_semi")
         if every:
-            x, y = (left.select("key", F.col("cls").alias(s), F.col("comp").alias(f"c{s}")) for s in "ab")
+            signed = left.join(packed.select(F.col("rid").alias("cls"), "packed"), "cls")
+            x, y = (signed.select("key", F.col("cls").alias(s), F.col("comp").alias(f"c{s}"), F.col("packed").alias(f"p{s}")) for s in "ab")
             # One side leaves out the bucket's most frequent component: it can be the giant.
             sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
             less = x.join(sizes, "key").where("ca <> main")
-            pairs = less.join(y, "key").where("ca <> cb and (cb = main or ca < cb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = less.join(y, "key").where(F.expr("ca <> cb and (cb = main or ca < cb)") & (estimate("pa", "pb") >= floor)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             own = left.where("cls = pivot").select("key", F.col("comp").alias("pc"))
-            pairs = left.join(own, "key").where("comp <> pc").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct()
+            pairs = left.join(own, "key").where("comp <> pc").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
         for d in done:
             pairs = pairs.join(d.select("a", "b"), ["a", "b"], "left_anti")
         done.append(check(pairs))
