@@ -60,7 +60,7 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int = LEAST) -> DataFrame:
-    """rid (row number of fixed docs), pos of every line that an earlier line stands for."""
+    """rid (row number of fixed docs), gone (places of the lines that an earlier line stands for) of texts that lose any."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), spaced(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
@@ -101,20 +101,25 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     wanted = pairs.select(F.col("a_d1").alias("d1"), F.col("a_d2").alias("d2")).union(pairs.select("b_d1", "b_d2")).distinct()
     where = kinds.join(wanted, ["d1", "d2"], "left_semi").select("d1", "d2", "first", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos"))
     by_text = where.groupBy("rid").agg(F.collect_list(F.struct("pos", "d1", "d2", "first")).alias("at"))
-    full = rows.select("rid", "text").join(by_text, "rid").select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-    full = scratch.keep(full.select("at.d1", "at.d2", "at.first", F.array_sort(word_hashes(F.element_at("lines", F.col("at.pos") + 1))).alias("words")), "line-sets")
+    # The text is split once, bound to a lambda's name, and gives its candidates' lines.
+    picked = lambda ls: F.transform("at", lambda c: F.struct(c["d1"].alias("d1"), c["d2"].alias("d2"), c["first"].alias("first"), F.get(ls, c["pos"]).alias("line")))
+    full = rows.select("rid", "text").join(by_text, "rid").select(F.explode_outer(F.element_at(F.transform(F.array(F.split("text", "\n")), picked), 1)).alias("at"))
+    full = scratch.keep(full.select("at.d1", "at.d2", "at.first", F.array_sort(word_hashes(F.col("at.line"))).alias("words")), "line-sets")
+    scratch.drop()
     x, y = (full.select(F.col("d1").alias(f"{s}_d1"), F.col("d2").alias(f"{s}_d2"), F.col("first").alias(f"{s}_first"), F.col("words").alias(f"{s}_words")) for s in "ab")
     both = pairs.join(x, ["a_d1", "a_d2"]).join(y, ["b_d1", "b_d2"]).withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
     match = both.where(F.col("common") * share[1] >= (F.size("a_words") + F.size("b_words") - F.col("common")) * share[0])
     later = match.select(F.greatest("a_first", "b_first").alias("first")).distinct()
     copies = lines.join(kinds.where("copies > 1").select("d1", "d2", "first"), ["d1", "d2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
-    return copies.select("rid", "pos").union(later.select("first.rid", "first.pos"))
+    gone = copies.select("rid", "pos").union(later.select("first.rid", "first.pos")).groupBy("rid").agg(F.collect_list("pos").alias("gone"))
+    out = scratch.keep(gone, "gone")
+    scratch.drop(kept, kinds, pairs, full)
+    return out
 
 
 def _cut(docs: DataFrame, share: tuple[int, int], least: int) -> DataFrame:
     """docs with _tb_lines and _tb_gone, the places of the lines to remove (null for none)."""
-    gone = removed_lines(docs, share, least).groupBy(F.col("rid").alias("_tb_rid")).agg(F.collect_list("pos").alias("_tb_gone"))
-    gone = Scratch(docs.sparkSession).keep(gone, "gone")
+    gone = removed_lines(docs, share, least).select(F.col("rid").alias("_tb_rid"), F.col("gone").alias("_tb_gone"))
     rows = docs.withColumn("_tb_rid", F.monotonically_increasing_id())
     return rows.join(gone, "_tb_rid", "left").withColumn("_tb_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
 
