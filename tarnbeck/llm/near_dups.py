@@ -32,8 +32,8 @@ from tarnbeck.llm.graph import components
 from tarnbeck.llm.grams import Words, mix, shingles
 
 K, SHARE = 5, (75, 100)
-BANDS, ROWS, BITS = 40, 4, 4
-HASHES = BANDS * ROWS
+#: Minima, of which the first BANDS * ROWS make the band keys; all of them serve the estimate.
+HASHES, BANDS, ROWS, BITS = 256, 40, 4, 4
 WORDS = HASHES * BITS // 64
 _rng = np.random.default_rng(4242)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -72,7 +72,7 @@ def _sketch(batches):
                 low = np.empty((HASHES, len(full)), np.uint32)
                 for h in range(HASHES):
                     low[h] = np.minimum.reduceat(x * _A[h] + _B[h], starts)
-                wide = low.astype(np.uint64).reshape(BANDS, ROWS, -1)
+                wide = low[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS, -1)
                 keys = mix((wide * _C[None, :, None]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)).view(np.int64).T
                 few = (low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(WORDS, 64 // BITS, -1)
                 words = (few << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))[None, :, None]).sum(axis=1, dtype=np.uint64).view(np.int64).T
