@@ -147,7 +147,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
         body, y = rnd.choice([lambda: (f"<p>{sentence()}</p>" * k, [0] * k), lambda: (sentence(2, 30), [0]), lambda: menu(k)])()
         if kind in ("nav", "header", "footer", "aside", "form", "menu"):
             return f"<{kind}>{body}</{kind}>", y
-        return f'<{rnd.choice(["div", "section", "div"])} {rnd.choice(["class", "class", "id"])}="{kind}">{body}</div>', y
+        tag = rnd.choice(["div", "section", "div"])
+        return f'<{tag} {rnd.choice(["class", "class", "id"])}="{kind}">{body}</{tag}>', y
 
     bad = ["nav", "header", "footer", "aside", "form", "menu", *[w for w in KEY_WORDS if w not in ("article", "content", "post", "entry", "story", "body", "text", "main")]]
     out = []
@@ -169,7 +170,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
             elif r < 0.2:
                 h, l = f"<ul><li>{sentence(1, 12)}</li><li>{sentence(1, 12)}</li></ul>", [1, 1]
             elif r < 0.3:
-                h, l = f"<{rnd.choice(['h2', 'h3', 'blockquote', 'pre'])}>{sentence(1, 9)}</h2>", [1]
+                inner = rnd.choice(["h2", "h3", "blockquote", "pre"])
+                h, l = f"<{inner}>{sentence(1, 9)}</{inner}>", [1]
             elif r < 0.4:
                 h, l = f"<p><b>{sentence(1, 12)}<br><p>{sentence()}", [1, 1]
             else:
