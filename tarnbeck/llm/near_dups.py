@@ -6,10 +6,12 @@
 2. Classes that share a band key are candidates. In each bucket the class with the most company in all its buckets is
    the pivot; pairs with a pivot come first. A pair's similarity is estimated from the equal packed values, counted by
    bits and corrected for chance collisions; pairs whose estimate is hopeless (5 standard deviations below the bound)
-   go no further.
+   go no further. Nor do pairs whose set sizes, or whose parities of shingle counts in LANES lanes, prove that too many
+   shingles differ: lanes of unlike parity are at most the shingles that only one set has, so this drops no link.
 3. The full sets of all other pairs are compared. Components of the links so far then say which buckets still hold
    classes of different components, and only pairs across components are compared, until no bucket is open: members
-   of one component need no further pair, so a group of thousands costs about one comparison for each member.
+   of one component need no further pair, so a group of thousands costs about one comparison for each member. A pair
+   is made in the first bucket that it shares alone.
 
 With 40 bands of 4 minima a pair at similarity 0.75 escapes all bands with probability 3e-7.
 Nulls count as empty texts; texts without words have the empty set and are linked with nothing; repeated rows are
@@ -35,6 +37,8 @@ K, SHARE = 5, (75, 100)
 #: Minima, of which the first BANDS * ROWS make the band keys; all of them serve the estimate.
 HASHES, BANDS, ROWS, BITS = 256, 40, 4, 4
 WORDS = HASHES * BITS // 64
+#: Lanes of the parity bits; sets of up to about half as many shingles are told apart nearly exactly.
+LANES = 1024
 _rng = np.random.default_rng(4242)
 _A = _rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -52,18 +56,21 @@ def text_sets(column: pa.Array):
 
 
 def _sketch(batches):
-    names = ["rid", "doc_id", "n_shingles", "s1", "s2", "bands", "packed"]
-    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+    names = ["rid", "doc_id", "n_shingles", "s1", "s2", "bands", "packed", "odd"]
+    kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 3
     for b in batches:
         for i, j, buf, offs in blocks(b.column("text")):
             grams, bounds = shingles(Words(buf, offs), K)
             n = j - i
             size, s1, s2 = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            odd = [None] * n
             for d in range(n):
                 own = np.unique(grams[bounds[d] : bounds[d + 1]])
                 if len(own):
                     size[d] = len(own)
                     s1[d], s2[d] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
+                    counts = np.bincount((own & np.uint64(LANES - 1)).astype(np.int64), minlength=LANES)
+                    odd[d] = np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
             full = np.flatnonzero(size)
             bands = [None] * n
             packed = [None] * n
@@ -78,7 +85,7 @@ def _sketch(batches):
                 words = (few << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))[None, :, None]).sum(axis=1, dtype=np.uint64).view(np.int64).T
                 for d, k, w in zip(full.tolist(), keys, words):
                     bands[d], packed[d] = k, w
-            cols = [b.column("rid").slice(i, n), b.column("doc_id").slice(i, n), size, s1, s2, bands, packed]
+            cols = [b.column("rid").slice(i, n), b.column("doc_id").slice(i, n), size, s1, s2, bands, packed, odd]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
 
@@ -101,6 +108,16 @@ def hopeless_below(share: float) -> float:
     return share - 5 * math.sqrt(p * (1 - p) / HASHES) / (1 - chance)
 
 
+def may_reach(a: str, b: str, share: tuple[int, int]) -> F.Column:
+    """False where set sizes (n) or lane parities (o) prove a similarity below the share."""
+    na, nb, unlike = F.col(f"n{a}"), F.col(f"n{b}"), F.lit(0)
+    for i in range(LANES // 64):
+        unlike = unlike + F.bit_count(F.col(f"o{a}")[i].bitwiseXOR(F.col(f"o{b}")[i]))
+    sizes = F.least(na, nb) * share[1] >= F.greatest(na, nb) * share[0]
+    # From common * (share[0] + share[1]) >= share[0] * (na + nb), and na + nb - 2 * common shingles differ.
+    return sizes & (unlike * (share[0] + share[1]) <= (na + nb) * (share[1] - share[0]))
+
+
 def _verify(share: tuple[int, int]):
     def verify(batches):
         memo, held = {}, 0
@@ -134,7 +151,7 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = stable(docs, "doc_id", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    schema = "rid long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, packed array<long>"
+    schema = "rid long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, packed array<long>, odd array<long>"
     sketch = scratch.keep(rows.select("rid", F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, schema), "sketches")
     kinds = sketch.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("rid").alias("cls"))
     heads = sketch.join(kinds.select(F.col("cls").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cls"), "bands", "packed")
@@ -147,7 +164,7 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     members = scratch.keep(met.select("key", "cls").join(pivot, "key"), "buckets")
     scratch.drop(met)
     some = members.select(F.col("cls").alias("rid")).distinct()
-    packed = scratch.keep(sketch.join(some, "rid", "left_semi").select("rid", "packed"), "packed")
+    packed = scratch.keep(sketch.join(some, "rid", "left_semi").select("rid", "n_shingles", "packed", "odd", "bands"), "packed")
     texts = scratch.keep(rows.select("rid", "text").join(some, "rid", "left_semi"), "texts")
     floor = hopeless_below(share[0] / share[1])
     done: list[DataFrame] = []
@@ -156,9 +173,8 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
 
     def check(pairs: DataFrame) -> DataFrame:
         """a, b, linked of the pairs whose estimate leaves hope."""
-        a = packed.select(F.col("rid").alias("a"), F.col("packed").alias("pa"))
-        b = packed.select(F.col("rid").alias("b"), F.col("packed").alias("pb"))
-        likely = pairs.join(a, "a").join(b, "b").where(estimate("pa", "pb") >= floor).select("a", "b")
+        a, b = (packed.select(F.col("rid").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("packed").alias(f"p{s}"), F.col("odd").alias(f"o{s}")) for s in "ab")
+        likely = pairs.join(a, "a").join(b, "b").where(may_reach("a", "b", share) & (estimate("pa", "pb") >= floor)).select("a", "b")
         ta, tb = (texts.select(F.col("rid").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
         # Equal pivots come one after another, so that a worker makes their sets once.
         both = likely.join(tb, "b").join(ta, "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
@@ -183,12 +199,13 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
         spans = at.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
         left = at.join(spans, "key", "left_semi")
         if every:
-            signed = left.join(packed.select(F.col("rid").alias("cls"), "packed"), "cls")
-            x, y = (signed.select("key", F.col("cls").alias(s), F.col("comp").alias(f"c{s}"), F.col("packed").alias(f"p{s}")) for s in "ab")
+            signed = left.join(packed.select(F.col("rid").alias("cls"), "n_shingles", "odd", "bands"), "cls")
+            x, y = (signed.select("key", F.col("cls").alias(s), F.col("comp").alias(f"c{s}"), F.col("n_shingles").alias(f"n{s}"), F.col("odd").alias(f"o{s}"), F.col("bands").alias(f"b{s}")) for s in "ab")
             # One side leaves out the bucket's most frequent component: it can be the giant.
             sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
             less = x.join(sizes, "key").where("ca <> main")
-            pairs = less.join(y, "key").where(F.expr("ca <> cb and (cb = main or ca < cb)") & (estimate("pa", "pb") >= floor)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            once = F.get(F.array_intersect("ba", "bb"), 0) == F.col("key")
+            pairs = less.join(y, "key").where(F.expr("ca <> cb and (cb = main or ca < cb)") & may_reach("a", "b", share) & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
             own = left.where("cls = pivot").select("key", F.col("comp").alias("pc"))
             pairs = left.join(own, "key").where("comp <> pc").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()

@@ -127,6 +127,19 @@ def test_near_duplicates(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id and r.doc_id >= 20) == sorted(i for i, _, c, k in brute_near(rows) if i and i >= 20 and k)
 
 
+def test_parities_drop_no_link(spark):
+    rnd = random.Random(11)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{rnd.randint(0, 10**6)}" for _ in range(rnd.choice([12, 80, 700]))]
+        for k in range(25):
+            w = list(base)
+            for _ in range(int(len(w) * k / 400)):
+                w[rnd.randrange(len(w))] = f"u{rnd.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    assert key(near_dups.near_duplicates(frame(spark, rows)).collect()) == key(brute_near(rows))
+
+
 def test_quality_measures_and_bounds(spark):
     rows = ODD + [(i, t) for i, t in random_texts(9, 30)] + [(300, "##### $$$ a b c d e f g h i j k\nfoo bar\nfoo bar\n \n \n")]
     labels = spark.createDataFrame([(4, 1, 0), (8, 0, 0), (8, None, 0), (None, 1, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
