@@ -5,10 +5,12 @@ Jaccard similarity of at least `share` with it. Lines with fewer than `least` di
 
 1. Word frequencies of the whole corpus, in BUCKETS counters, and their lengths order each line's words by rarity.
 2. Lines with equal sets become one class by a partial aggregation; all but its first line go.
-3. Two classes at `share` have a common word among their rarest n - ceil(share * n) + 1 (prefix filter). Classes that
+3. A class that matches the earliest class with one of its rarest words is resolved: it loses its first line. Two
+   resolved classes need no comparison any more, so that a group of near-equal lines isn't compared in all its pairs.
+4. Two classes at `share` have a common word among their rarest n - ceil(share * n) + 1 (prefix filter). Classes that
    share one are a candidate if their sizes (length filter), the places of that word (positional filter) and their
    words counted by three bits of the hash leave room for enough common words.
-4. Candidates are compared on their full sets; of a match, the class that starts later loses its first line as well.
+5. Candidates are compared on their full sets; of a match, the class that starts later loses its first line as well.
 
 Null texts have one empty line; they and null ids keep their row. Repeated rows are documents of their own, the first
 of them being the earlier. Extra columns are kept by `drop_repeated_lines` and fall away from the digest.
@@ -24,6 +26,8 @@ from tarnbeck.llm.common import Scratch, fixed
 SHARE, LEAST = (85, 100), 5
 #: Counters of the rarity order, a power of two: a fixed number, so that the table that every task holds doesn't grow.
 BUCKETS = 1 << 17
+#: Rarest words by which a class is put beside a pivot; a number for speed, as what pivots leave is joined in full.
+PIVOTS = 3
 
 
 def spaced(text: Column) -> Column:
@@ -59,6 +63,37 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("rid", "doc_id", F.posexplode_outer(F.split(F.col("text"), "\n")).alias("pos", "line"))
 
 
+def _need(share: tuple[int, int]) -> Column:
+    """Common words that classes a and b need at least."""
+    return F.ceil((F.col("a_n") + F.col("b_n")) * share[0] / F.lit(share[0] + share[1]))
+
+
+def _alike(share: tuple[int, int]) -> Column:
+    """Whether the sizes of a and b, and their words counted by three bits of the hash (8 bits a count), allow a match."""
+    lane = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+    apart = sum((F.abs(lane(F.col("a_spread"), i) - lane(F.col("b_spread"), i)) for i in range(1, 8)), F.abs(lane(F.col("a_spread"), 0) - lane(F.col("b_spread"), 0)))
+    counts = (F.greatest("a_n", "b_n") > 255) | (apart <= F.col("a_n") + F.col("b_n") - 2 * _need(share))
+    return (F.least("a_n", "b_n") * share[1] >= F.greatest("a_n", "b_n") * share[0]) & counts
+
+
+def _later(rows: DataFrame, kinds: DataFrame, pairs: DataFrame, share: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """d1, d2, first of the class that starts later in each pair that is a match by its full sets."""
+    wanted = pairs.select(F.col("a_d1").alias("d1"), F.col("a_d2").alias("d2")).union(pairs.select("b_d1", "b_d2")).distinct()
+    where = kinds.join(wanted, ["d1", "d2"], "left_semi").select("d1", "d2", "first", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos"))
+    by_text = where.groupBy("rid").agg(F.collect_list(F.struct("pos", "d1", "d2", "first")).alias("at"))
+    # The text is split once, bound to a lambda's name, and gives its candidates' lines.
+    picked = lambda ls: F.transform("at", lambda c: F.struct(c["d1"].alias("d1"), c["d2"].alias("d2"), c["first"].alias("first"), F.get(ls, c["pos"]).alias("line")))
+    full = rows.select("rid", "text").join(by_text, "rid").select(F.explode_outer(F.element_at(F.transform(F.array(F.split("text", "\n")), picked), 1)).alias("at"))
+    full = scratch.keep(full.select("at.d1", "at.d2", "at.first", F.array_sort(word_hashes(F.col("at.line"))).alias("words")), "line-sets")
+    scratch.drop()
+    x, y = (full.select(F.col("d1").alias(f"{s}_d1"), F.col("d2").alias(f"{s}_d2"), F.struct("first", "d1", "d2").alias(f"{s}_class"), F.col("words").alias(f"{s}_words")) for s in "ab")
+    both = pairs.join(x, ["a_d1", "a_d2"]).join(y, ["b_d1", "b_d2"]).withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
+    match = both.where(F.col("common") * share[1] >= (F.size("a_words") + F.size("b_words") - F.col("common")) * share[0])
+    out = scratch.keep(match.select(F.greatest("a_class", "b_class").alias("c")).select("c.d1", "c.d2", "c.first").distinct(), "later")
+    scratch.drop(full)
+    return out
+
+
 def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int = LEAST) -> DataFrame:
     """rid (row number of fixed docs), gone (places of the lines that an earlier line stands for) of texts that lose any."""
     spark = docs.sparkSession
@@ -81,39 +116,27 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
     kinds = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("spread").alias("spread"))
     kinds = scratch.keep(kinds, "kinds")
-    # Prefix words that two classes share.
-    heads = kinds.select("d1", "d2", "n", "spread", F.posexplode("head").alias("i", "w"))
-    common = heads.groupBy("w").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("w")
-    met = scratch.keep(heads.join(common, "w"), "prefixes")
-    a, b = (met.select("w", *[F.col(c).alias(f"{s}_{c}") for c in ("d1", "d2", "n", "i", "spread")]) for s in "ab")
-    need = F.ceil((F.col("a_n") + F.col("b_n")) * share[0] / F.lit(share[0] + share[1]))
+    # Pivots: each class beside the earliest class that has one of its PIVOTS rarest words in such a place as well.
+    tops = kinds.select("d1", "d2", "n", "spread", "first", F.explode(F.slice("head", 1, PIVOTS)).alias("w"))
+    pivots = tops.groupBy("w").agg(F.min(F.struct("first", "d1", "d2", "n", "spread")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    beside = tops.select("w", *[F.col(c).alias(f"b_{c}") for c in ("d1", "d2", "n", "spread")]).join(pivots.select("w", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("d1", "d2", "n", "spread")]), "w")
+    beside = beside.where(((F.col("a_d1") != F.col("b_d1")) | (F.col("a_d2") != F.col("b_d2"))) & _alike(share))
+    beside = scratch.keep(beside.select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "pivot-pairs")
+    done = scratch.keep(_later(rows, kinds, beside, share, scratch), "resolved")
+    # Prefix words that two classes share; of two resolved classes the later one is known to go already.
+    marked = kinds.join(done.select("d1", "d2", F.lit(1).alias("done")), ["d1", "d2"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    heads = marked.select("d1", "d2", "n", "spread", "done", F.posexplode("head").alias("i", "w"))
+    a, b = (heads.select("w", *[F.col(c).alias(f"{s}_{c}") for c in ("d1", "d2", "n", "i", "spread", "done")]) for s in "ab")
     other = (F.col("a_d1") < F.col("b_d1")) | ((F.col("a_d1") == F.col("b_d1")) & (F.col("a_d2") < F.col("b_d2")))
-    length = (F.least("a_n", "b_n") * share[1] >= F.greatest("a_n", "b_n") * share[0])
     # A match has a first common word, and no other common one before it: what follows bounds the rest.
-    rest = 1 + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) - 1 >= need
-    # Words in one line alone also show in the counts of words by three bits of their hash (8 bits a count).
-    lane = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
-    apart = sum((F.abs(lane(F.col("a_spread"), i) - lane(F.col("b_spread"), i)) for i in range(1, 8)), F.abs(lane(F.col("a_spread"), 0) - lane(F.col("b_spread"), 0)))
-    counts = (F.greatest("a_n", "b_n") > 255) | (apart <= F.col("a_n") + F.col("b_n") - 2 * need)
-    pairs = scratch.keep(a.join(b, "w").where(other & length & rest & counts).select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "line-pairs")
-    scratch.drop(met)
-    # Full sets of the candidates, from their first line's text.
-    wanted = pairs.select(F.col("a_d1").alias("d1"), F.col("a_d2").alias("d2")).union(pairs.select("b_d1", "b_d2")).distinct()
-    where = kinds.join(wanted, ["d1", "d2"], "left_semi").select("d1", "d2", "first", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos"))
-    by_text = where.groupBy("rid").agg(F.collect_list(F.struct("pos", "d1", "d2", "first")).alias("at"))
-    # The text is split once, bound to a lambda's name, and gives its candidates' lines.
-    picked = lambda ls: F.transform("at", lambda c: F.struct(c["d1"].alias("d1"), c["d2"].alias("d2"), c["first"].alias("first"), F.get(ls, c["pos"]).alias("line")))
-    full = rows.select("rid", "text").join(by_text, "rid").select(F.explode_outer(F.element_at(F.transform(F.array(F.split("text", "\n")), picked), 1)).alias("at"))
-    full = scratch.keep(full.select("at.d1", "at.d2", "at.first", F.array_sort(word_hashes(F.col("at.line"))).alias("words")), "line-sets")
+    rest = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= _need(share)
+    pairs = scratch.keep(a.join(b, "w").where(other & (F.col("a_done") + F.col("b_done") < 2) & _alike(share) & rest).select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "line-pairs")
     scratch.drop()
-    x, y = (full.select(F.col("d1").alias(f"{s}_d1"), F.col("d2").alias(f"{s}_d2"), F.col("first").alias(f"{s}_first"), F.col("words").alias(f"{s}_words")) for s in "ab")
-    both = pairs.join(x, ["a_d1", "a_d2"]).join(y, ["b_d1", "b_d2"]).withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
-    match = both.where(F.col("common") * share[1] >= (F.size("a_words") + F.size("b_words") - F.col("common")) * share[0])
-    later = match.select(F.greatest("a_first", "b_first").alias("first")).distinct()
+    later = _later(rows, kinds, pairs, share, scratch).select("first").union(done.select("first")).distinct()
     copies = lines.join(kinds.where("copies > 1").select("d1", "d2", "first"), ["d1", "d2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
     gone = copies.select("rid", "pos").union(later.select("first.rid", "first.pos")).groupBy("rid").agg(F.collect_list("pos").alias("gone"))
     out = scratch.keep(gone, "gone")
-    scratch.drop(kept, kinds, pairs, full)
+    scratch.drop(kept, kinds, beside, done, pairs)
     return out
 
 
