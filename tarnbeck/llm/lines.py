@@ -5,7 +5,7 @@ Jaccard similarity of at least `share` with it. Lines with fewer than `least` di
 
 1. Word frequencies of the whole corpus, in BUCKETS counters, and their lengths order each line's words by rarity.
 2. Lines with equal sets become one class by a partial aggregation; all but its first line go.
-3. A class that matches one of the earliest classes with one of its rarest words is resolved: it loses its first line. Two
+3. A class that matches the earliest class with one of its rarest words is resolved: it loses its first line. Two
    resolved classes need no comparison any more, so that a group of near-equal lines isn't compared in all its pairs.
 4. Two classes at `share` have a common word among their rarest n - ceil(share * n) + 1 (prefix filter). Classes that
    share one are a candidate if their sizes (length filter), the places of that word (positional filter) and their
@@ -26,8 +26,8 @@ from tarnbeck.llm.common import Scratch, fixed
 SHARE, LEAST = (85, 100), 5
 #: Counters of the rarity order, a power of two: a fixed number, so that the table that every task holds doesn't grow.
 BUCKETS = 1 << 17
-#: Rarest words by which a class is put beside pivots, and pivots of each word; for speed alone, as what pivots leave is joined in full.
-PIVOTS, SLICES = 3, 16
+#: Rarest words by which a class is put beside a pivot; for speed alone, as what pivots leave is joined in full.
+PIVOTS = 3
 
 
 def spaced(text: Column) -> Column:
@@ -116,9 +116,9 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
     kinds = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("spread").alias("spread"))
     kinds = scratch.keep(kinds, "kinds")
-    # Pivots: each class beside the earliest class of each slice that has one of its PIVOTS rarest words in such a place as well.
+    # Pivots: each class beside the earliest class that has one of its PIVOTS rarest words in such a place as well.
     tops = kinds.select("d1", "d2", "n", "spread", "first", F.explode(F.slice("head", 1, PIVOTS)).alias("w"))
-    pivots = tops.groupBy("w", F.pmod("d1", F.lit(SLICES))).agg(F.min(F.struct("first", "d1", "d2", "n", "spread")).alias("p"))
+    pivots = tops.groupBy("w").agg(F.min(F.struct("first", "d1", "d2", "n", "spread")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
     beside = tops.select("w", *[F.col(c).alias(f"b_{c}") for c in ("d1", "d2", "n", "spread")]).join(pivots.select("w", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("d1", "d2", "n", "spread")]), "w")
     beside = beside.where(((F.col("a_d1") != F.col("b_d1")) | (F.col("a_d2") != F.col("b_d2"))) & _alike(share))
     beside = scratch.keep(beside.select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "pivot-pairs")
