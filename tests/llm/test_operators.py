@@ -208,6 +208,22 @@ def test_lm_prefers_seen_order(spark):
     assert got[900].n_words == 0 and got[901].log_likelihood == 0 and got[903].per_word > got[902].per_word
 
 
+def test_lm_scores_rare_words_by_their_counts(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(i * 100, i * 100 + 100)) + " again" * (i == 7)) for i in range(150)]
+    rows += [(200 + i, f"w{k}") for i, k in enumerate([14990] * 3)]
+    parts = pseudo_lm.word_blocks(frame(spark, rows, False)).cache()
+    counted = pseudo_lm.word_counts(parts).cache()
+    lexicon = pseudo_lm.Lexicon(counted)
+    own = counted.where("own").select("word", "n", lexicon.class_of().alias("cls")).collect()
+    assert len(own) == 15001 and sorted(r.n for r in own)[-2:] == [1, 4]
+    share = defaultdict(float)
+    for r in own:
+        share[r.cls] += r.n / lexicon.total[r.cls]
+    assert all(abs(s - 1) < 1e-9 for s in share.values())
+    inner = {r.doc_id: r.inner for r in pseudo_lm.classed(parts, counted, lexicon).collect()}
+    assert abs(sum(v for i, v in inner.items() if i < 200) + 3 * inner[200] - sum(r.n * np.log(r.n / lexicon.total[r.cls]) for r in own)) < 1e-6
+
+
 def test_empty_tables(spark):
     df = frame(spark).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int")
