@@ -28,6 +28,8 @@ SHARE, LEAST = (85, 100), 5
 BUCKETS = 1 << 17
 #: Rarest words by which a class is put beside a pivot; a number for speed, as what pivots leave is joined in full.
 PIVOTS = 3
+#: Lines of so many different words have no counts by hash bits: below, no count of 8 bits runs over, nor the sum of the 8.
+LANES = 128
 
 
 def spaced(text: Column) -> Column:
@@ -72,7 +74,7 @@ def _alike(share: tuple[int, int]) -> Column:
     """Whether the sizes of a and b, and their words counted by three bits of the hash (8 bits a count), allow a match."""
     lane = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
     apart = sum((F.abs(lane(F.col("a_spread"), i) - lane(F.col("b_spread"), i)) for i in range(1, 8)), F.abs(lane(F.col("a_spread"), 0) - lane(F.col("b_spread"), 0)))
-    counts = (F.greatest("a_n", "b_n") > 255) | (apart <= F.col("a_n") + F.col("b_n") - 2 * _need(share))
+    counts = (F.greatest("a_n", "b_n") >= LANES) | (apart <= F.col("a_n") + F.col("b_n") - 2 * _need(share))
     return (F.least("a_n", "b_n") * share[1] >= F.greatest("a_n", "b_n") * share[0]) & counts
 
 
@@ -109,7 +111,7 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
 
     ordered = F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split("line", " "), key)), key(F.lit(""))))
     # One struct from words bound to a lambda's name: each line is split once. Short lines go after it is written.
-    digest = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("d1"), F.xxhash64(F.lit(7), w).alias("d2"), F.when(F.size(w) >= least, F.slice(w, 1, prefix_size(F.size(w), share))).alias("head"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.get(F.array(*[F.lit(1 << (8 * i)).cast("long") for i in range(8)]), x.bitwiseAND(F.lit(7)).cast("int"))).alias("spread"))
+    digest = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("d1"), F.xxhash64(F.lit(7), w).alias("d2"), F.when(F.size(w) >= least, F.slice(w, 1, prefix_size(F.size(w), share))).alias("head"), F.when(F.size(w) < LANES, F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.get(F.array(*[F.lit(1 << (8 * i)).cast("long") for i in range(8)]), x.bitwiseAND(F.lit(7)).cast("int")))).alias("spread"))
     own = _lines(rows).select("rid", "doc_id", "pos", F.element_at(F.transform(F.array(ordered), digest), 1).alias("s"))
     kept = scratch.keep(own, "lines")
     lines = kept.where(F.col("s.n") >= least).select("rid", "doc_id", "pos", "s.*")

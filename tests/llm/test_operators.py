@@ -172,6 +172,15 @@ def test_line_dedup_keeps_rows(spark):
     assert got == {1: "the quick brown fox jumps over it\nshort\nshort", 2: "x", 3: None, 4: "", 5: "a b"}
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    rows = []
+    for n in (100, 127, 128, 200, 255, 256, 1100, 5000):
+        words = [f"n{n}w{k}" for k in range(n)]
+        rows += [(10 * n, " ".join(words)), (10 * n + 1, "y" + str(n) + "\n" + " ".join(words[::-1])), (10 * n + 2, " ".join(words[n // 20 :])), (10 * n + 3, " ".join(words[: n // 2]))]
+    got = {r.doc_id: r.n_removed for r in lines.line_digest(frame(spark, rows)).collect()}
+    assert got == {i: int(i % 10 in (1, 2)) for i, _ in rows}
+
+
 def test_decontamination_odd_cases(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny item"), (4, item)], "item_id long, text string")
