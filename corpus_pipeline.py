@@ -17,9 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line stands for."""
+    """Documents without lines that an earlier line stands for, short ones too; lines without words stay."""
     ship(spark)
-    return lines.drop_repeated_lines(docs)
+    return lines.drop_repeated_lines(docs, least=1)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

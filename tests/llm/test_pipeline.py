@@ -22,3 +22,11 @@ def test_stages(spark):
     clean = " ".join(" ".join(r.text.split()) for r in leaks[1].collect()).lower()
     assert not any(" ".join(i.split()).lower() in clean for i in items)
     assert {r.doc_id for r in packed[1].collect()} == {r.doc_id for r in leaks[1].collect()}
+
+
+def test_lines_stage_removes_short_repeats(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "Read more\n\nHome\nfour short words here"), (2, "Read more\n\nbody\nmore Read\nHome\nfour short words there")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.lines_stage(spark, docs, "").collect()}
+    assert got == {1: "Read more\n\nHome\nfour short words here", 2: "\nbody\nfour short words there"}
