@@ -25,10 +25,6 @@ from tarnbeck.llm.common import Scratch, only, partitions, slices
 
 END_ID = 1
 MEMO_WORDS = 1_800_000
-#: Rounds of the local search over all groups, at most; each round that changes nothing ends it.
-ROUNDS = 200
-
-
 #: A lone full stop or comma behind a letter and before white space, which is a part of its own for the tokenizer.
 _MARK = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|\Z)")
 
@@ -188,15 +184,21 @@ class Bins:
         return found
 
     def search(self) -> None:
-        """Until no bin is superfluous or nothing changes, drain the emptiest bins into other underfull ones."""
-        for _ in range(ROUNDS):
-            if self.count() <= self.least():
-                return
-            under = sorted((c for c in self.groups if self.fill(c) < self.capacity), key=lambda c: (self.fill(c), c))
+        """Until no bin is superfluous or nothing changes, drain the emptiest bins into other underfull ones.
+
+        Squared fill rises at each change, so it ends. A change depends on the two contents alone: a group that found
+        none is tried again only with groups that were added to since.
+        """
+        bins, least, clock = self.count(), self.least(), 1
+        born: dict[tuple, int] = defaultdict(int)
+        tried: dict[tuple, int] = {}
+        while bins > least:
+            under = sorted((f, c) for c in self.groups if (f := self.fill(c)) < self.capacity)
             changed = False
-            for low in under:
-                for high in reversed(under):
-                    if low not in self.groups or high not in self.groups or self.fill(high) < self.fill(low) or low == high and self.groups[low] < 2:
+            for at, (filled, low) in enumerate(under):
+                since, begun = tried.get(low, -1), clock
+                for _, high in reversed(under[next(i for i in range(at, -1, -1) if not i or under[i - 1][0] < filled) :]):
+                    if born[high] <= since or low not in self.groups or high not in self.groups or low == high and self.groups[low] < 2:
                         continue
                     if step := self._step(low, high):
                         many = self.groups[low] // 2 if low == high else min(self.groups[low], self.groups[high])
@@ -208,9 +210,13 @@ class Bins:
                         for content in (self.change(low, out, back), self.change(high, back, out)):
                             if content:
                                 self.groups[content] += many
+                                born[content] = clock = clock + 1
+                            else:
+                                bins -= many
                         changed = True
                 if changed:
                     break
+                tried[low] = begun
             if not changed:
                 return
 

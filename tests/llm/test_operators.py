@@ -79,6 +79,22 @@ def test_local_search_empties_bins():
     assert bins.count() == 2 and sum(bins.fill(c) * m for c, m in bins.groups.items()) == 20
 
 
+def test_local_search_runs_to_its_end():
+    rnd = random.Random(5)
+    bins = packing.Bins(4096)
+    lengths = Counter(rnd.randint(700, 3000) for _ in range(4000))
+    bins.start(lengths)
+    first = bins.count()
+    bins.search()
+    left = Counter()
+    for content, many in bins.groups.items():
+        for n, k in content:
+            left[n] += k * many
+    assert left == lengths and bins.count() < first
+    under = [c for c in bins.groups if bins.fill(c) < 4096]
+    assert bins.count() == bins.least() or not any(bins._step(a, b) for a in under for b in under if bins.fill(b) >= bins.fill(a) and (a != b or bins.groups[a] > 1))
+
+
 @pytest.mark.parametrize("length,gram", [(40, 16), (60, 60), (33, 8)])
 def test_repeated_substrings(spark, length, gram):
     docs = random_texts(3) + [(100, None), (101, ""), (None, "q" * 50)] + random_texts(3)[:1]
