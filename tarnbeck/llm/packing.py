@@ -175,12 +175,16 @@ class Bins:
             for x in a:
                 if best < x - y <= room:
                     best, found = x - y, ((x,), (y,))
-            # two from the emptier bin for one of the fuller
-            for x in a:
-                for gain in (room, *()):
-                    z = y + gain - x
-                    if z in have and (z != x or dict(low)[x] > 1) and best < gain:
-                        best, found = gain, ((x, z), (y,))
+            # two from the emptier bin for one of the fuller, from both ends of its lengths
+            i, k = 0, len(a) - 1
+            while i <= k:
+                gain = a[i] + a[k] - y
+                if gain > room:
+                    i += 1
+                    continue
+                if best < gain and (i != k or low[i][1] > 1):
+                    best, found = gain, ((a[i], a[k]), (y,))
+                k -= 1
         return found
 
     def search(self) -> None:

@@ -79,6 +79,23 @@ def test_local_search_empties_bins():
     assert bins.count() == 2 and sum(bins.fill(c) * m for c, m in bins.groups.items()) == 20
 
 
+def test_two_for_one_exchange_of_any_gain():
+    bins = packing.Bins(100)
+    assert bins._step(((20, 1), (18, 1)), ((60, 1), (30, 1))) == ((20, 18), (30,))  # gain 8 of a room of 10
+    assert bins._step(((20, 2),), ((60, 1), (35, 1))) == ((20, 20), (35,))
+    rnd = random.Random(8)
+    for _ in range(2000):
+        low, high = (bins.change((), (), tuple(rnd.randint(8, 45) for _ in range(rnd.randint(1, 4)))) for _ in range(2))
+        low, high = sorted((low, high), key=bins.fill)
+        room = 100 - bins.fill(high)
+        if room < 0:
+            continue
+        own, other = [n for n, k in low for _ in range(k)], [n for n, _ in high]
+        gains = own + [x - y for x in own for y in other] + [x + z - y for i, x in enumerate(own) for z in own[:i] for y in other]
+        step = bins._step(low, high)
+        assert (sum(step[0]) - sum(step[1]) if step else 0) == max((g for g in gains if 0 < g <= room), default=0)
+
+
 def test_local_search_runs_to_its_end():
     rnd = random.Random(5)
     bins = packing.Bins(4096)
