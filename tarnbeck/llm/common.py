@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
@@ -17,6 +16,9 @@ from pyspark.sql import functions as F
 WORD_SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that one NumPy step works on at a time; a longer text is a step of its own.
 BLOCK_BYTES = 2_000_000
+#: Files that rows are numbered by without a copy; a number has 23 bits for the file and 40 for the row.
+FILES = 1000
+_FORGET = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,30 +33,38 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 class Scratch:
     """Written tables that cut lineage, in the shared folder of spark.checkpoint.dir.
 
-    Any executor can read them again, so a job outlives lost executors. Without the setting (tests) a temporary
-    folder of this machine serves.
+    Any executor can read them again, so a job outlives lost executors. Without the setting a local session (tests) uses
+    a temporary folder; a cluster's session is refused, as its machines share no such folder.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tarnbeck-scratch")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
+            base = os.path.join(tempfile.gettempdir(), "tarnbeck-scratch")
         self.base = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table. Its shuffles have no reader after that: Spark is told to forget them with the write."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_FORGET, "false")
+        self.spark.conf.set(_FORGET, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_FORGET, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that nothing reads any more, and let Spark forget shuffles that have no reader."""
+        """Delete tables that nothing reads any more."""
         jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -89,14 +99,23 @@ def slices(batches, limit: int = BLOCK_BYTES, column: str = "text"):
                 yield batch.slice(i, j - i)
 
 
-def fixed(docs: DataFrame) -> DataFrame:
-    """The frame if it is a scan of files with filters and projections, which deals its rows out alike at each reading; anything else is written first."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    if all(re.match(r"[\s:+-]*(Project|Filter|Relation) ?\[?", line) for line in plan.strip().split("\n")):
-        return docs
-    return Scratch(docs.sparkSession).keep(docs, "input")
+def numbered(docs: DataFrame, *columns: str, name: str = "rid") -> DataFrame:
+    """The columns (all of them if none is named) and a row number that every reading of the frame gives again.
 
-
-def stable(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns with a row number `rid` (unique, not gapless) that every reading of the same files gives again."""
-    return only(fixed(docs), *columns).withColumn("rid", F.monotonically_increasing_id())
+    For a plain scan of at most FILES files it is made of the file and the row's place in it. Anything else is written
+    once with its row numbers, which are then read as data. So no number depends on how a reading is split into tasks.
+    """
+    own = [F.col(f"`{c}`") for c in columns or docs.columns]
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.children().isEmpty() and any(a.name() == "_metadata" for a in _items(plan.metadataOutput())):
+        path = F.col("_metadata.file_path")
+        files = sorted(r[0] for r in docs.select(path).distinct().limit(FILES + 1).collect())
+        if len(files) <= FILES:
+            at = F.array_position(F.array(*map(F.lit, files)), path) if files else F.lit(0)
+            number = F.when(at > 0, at).otherwise(F.raise_error(F.lit("file of no known number"))).cast("long")
+            return docs.select(*own, (F.shiftleft(number, 40) + F.col("_metadata.row_index")).alias(name))
+    return Scratch(docs.sparkSession).keep(docs.select(*own, F.monotonically_increasing_id().alias(name)), "input")
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.common import WORD_SPACE, Scratch, fixed
+from tarnbeck.llm.common import WORD_SPACE, Scratch, numbered
 
 K, SHARE, RADIUS = 5, (75, 100), 20
 #: Item shingles that are broadcast at most (16 bytes each); a larger benchmark is joined by a shuffle.
@@ -75,7 +75,7 @@ def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE, radius: int = RADIUS) -> DataFrame:
-    """rid (row number of fixed docs), doc_id, item_id, start (first best window's shingle), common, total (weighted
+    """rid (of numbered docs), doc_id, item_id, start (first best window's shingle), common, total (weighted
     shingles in both, in either) of every leaked item."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -85,7 +85,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE,
     of_item = scratch.keep(item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("in_item")), "item-shingles")
     seeds = of_item.select("item", "h").join(items.select("item", "size"), "item").groupBy("h").agg(F.collect_list(F.struct("item", "size")).alias("items"))
     few = of_item.count() <= BROADCAST_ROWS
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = with_shingles(rows)
     # Outer, as a plain explode makes Spark add a filter that reckons the shingles once more.
     at = marked.select("rid", F.size("shingles").alias("count"), F.posexplode_outer("shingles").alias("pos", "h")).join(F.broadcast(seeds) if few else seeds, "h")
@@ -115,15 +115,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE,
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE, radius: int = RADIUS) -> DataFrame:
     """doc_id, item_id, start, common, total of every leaked item."""
-    return leaks(fixed(docs), benchmark, share, radius).drop("rid")
+    return leaks(numbered(docs, "doc_id", "text"), benchmark, share, radius).drop("rid")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, in which no item is leaked."""
-    docs = fixed(docs)
-    bad = leaks(docs, benchmark, share, radius).select(F.col("rid").alias("_tb_rid")).distinct()
+    rows = numbered(docs, name="_tb_rid")
+    bad = leaks(rows.select(F.col("_tb_rid").alias("rid"), "doc_id", "text"), benchmark, share, radius).select(F.col("rid").alias("_tb_rid")).distinct()
     bad = Scratch(docs.sparkSession).keep(bad, "leaked")
-    rows = docs.withColumn("_tb_rid", F.monotonically_increasing_id())
     return rows.join(bad, "_tb_rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -3,33 +3,41 @@
 A line is the set of its words. A line is removed if an earlier line (by doc_id, row, place) has
 Jaccard similarity of at least `share` with it. Lines with fewer than `least` different words are never removed.
 
-1. Word frequencies of the whole corpus, in BUCKETS counters, and their lengths order each line's words by rarity.
-2. Lines with equal sets become one class by a partial aggregation; all but its first line go.
-3. A class that matches the earliest class with one of its rarest words is resolved: it loses its first line. Two
-   resolved classes need no comparison any more, so that a group of near-equal lines isn't compared in all its pairs.
-4. Two classes at `share` have a common word among their rarest n - ceil(share * n) + 1 (prefix filter). Classes that
-   share one are a candidate if their sizes (length filter), the places of that word (positional filter) and their
-   words counted by three bits of the hash leave room for enough common words.
-5. Candidates are compared on their full sets; of a match, the class that starts later loses its first line as well.
+1. Word counts of the whole corpus, in BUCKETS counters, order each line's words by rarity.
+2. Lines with equal sets become one class by a partial aggregation; all but its first line go. Classes are numbered in
+   the order of their first lines, so that a smaller number is an earlier line.
+3. Two classes at `share` have a common word among their rarest n - ceil(share * n) + 1 (prefix filter); set sizes
+   (length filter), the place of that word (positional filter) and 64 parities of the words' hashes leave room for
+   enough common words. Sets differ in at least as many words as their parities do, so none of these drops a match.
+4. Every class is first held against the earliest class that shares its prefix word: one pair for each prefix word at
+   most. A group of near-equal lines is resolved by that, and a word of two classes is settled for good.
+5. A class that found no match so far is held against all others of its words by semi joins, which look for one
+   earlier match and make no pairs. A word of more than HOT classes is joined with a second one: matches that have
+   their first common word there share another one of their rarest n - ceil(share * n) + 2.
+6. Similarities are reckoned on full sets, once for the classes that have a partner by 3.
 
 Null texts have one empty line; they and null ids keep their row. Repeated rows are documents of their own, the first
-of them being the earlier. Extra columns are kept by `drop_repeated_lines` and fall away from the digest.
+of them being the earlier. Lines of any length are read whole. Extra columns are kept by `drop_repeated_lines` and fall
+away from the digest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.common import Scratch, fixed
+from tarnbeck.llm.common import Scratch, numbered
 
 SHARE, LEAST = (85, 100), 5
 #: Counters of the rarity order, a power of two: a fixed number, so that the table that every task holds doesn't grow.
 BUCKETS = 1 << 17
-#: Rarest words by which a class is put beside a pivot; a number for speed, as what pivots leave is joined in full.
-PIVOTS = 3
-#: Lines of so many different words have no counts by hash bits: below, no count of 8 bits runs over, nor the sum of the 8.
-LANES = 128
+#: Bits below a word's rarity class (5 bits) in its key: the low ones of its hash.
+LOW = 58
+#: Rarity class from which on a word's classes are split for the search of its earliest class: below, a word has fewer
+#: than 2 ** SPLIT places in the corpus.
+SPLIT = 20
+#: Classes of a word from which on it is joined together with a second word.
+HOT = 64
 
 
 def spaced(text: Column) -> Column:
@@ -42,18 +50,22 @@ def spaced(text: Column) -> Column:
 
 
 def word_hashes(line: Column) -> Column:
-    """Hashes of the different words of a spaced line."""
-    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    """Hashes of the words of a spaced line, repeated ones and those of empty words too."""
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+
+
+def once(value: Column) -> Column:
+    """The value, reckoned once however often it is used. Outer, as a plain explode makes Spark reckon it once more."""
+    return F.explode_outer(F.array(value))
 
 
 def rarity(rows: DataFrame) -> Column:
-    """The rarity class of each counter: the logarithm of how many words it has counted."""
-    # Outer here and below, as a plain explode makes Spark add a filter that splits the text once more.
+    """The rarity class of each counter, shifted to its place in a key: the logarithm of how many words it has counted."""
     words = rows.select(F.explode_outer(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows
     level = [0] * BUCKETS
     for r in counts:
-        level[r["k"]] = r["n"].bit_length()
+        level[r["k"]] = min(31, r["n"].bit_length()) << LOW
     return F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")
 
 
@@ -61,92 +73,118 @@ def prefix_size(n: Column, share: tuple[int, int]) -> Column:
     return n - F.ceil(n * share[0] / F.lit(share[1])).cast("int") + 1
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("rid", "doc_id", F.posexplode_outer(F.split(F.col("text"), "\n")).alias("pos", "line"))
-
-
-def _need(share: tuple[int, int]) -> Column:
+def need(share: tuple[int, int]) -> Column:
     """Common words that classes a and b need at least."""
     return F.ceil((F.col("a_n") + F.col("b_n")) * share[0] / F.lit(share[0] + share[1]))
 
 
-def _alike(share: tuple[int, int]) -> Column:
-    """Whether the sizes of a and b, and their words counted by three bits of the hash (8 bits a count), allow a match."""
-    lane = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
-    apart = sum((F.abs(lane(F.col("a_spread"), i) - lane(F.col("b_spread"), i)) for i in range(1, 8)), F.abs(lane(F.col("a_spread"), 0) - lane(F.col("b_spread"), 0)))
-    counts = (F.greatest("a_n", "b_n") >= LANES) | (apart <= F.col("a_n") + F.col("b_n") - 2 * _need(share))
-    return (F.least("a_n", "b_n") * share[1] >= F.greatest("a_n", "b_n") * share[0]) & counts
-
-
-def _later(rows: DataFrame, kinds: DataFrame, pairs: DataFrame, share: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """d1, d2, first of the class that starts later in each pair that is a match by its full sets."""
-    wanted = pairs.select(F.col("a_d1").alias("d1"), F.col("a_d2").alias("d2")).union(pairs.select("b_d1", "b_d2")).distinct()
-    where = kinds.join(wanted, ["d1", "d2"], "left_semi").select("d1", "d2", "first", F.col("first.rid").alias("rid"), F.col("first.pos").alias("pos"))
-    by_text = where.groupBy("rid").agg(F.collect_list(F.struct("pos", "d1", "d2", "first")).alias("at"))
-    # The text is split once, bound to a lambda's name, and gives its candidates' lines.
-    picked = lambda ls: F.transform("at", lambda c: F.struct(c["d1"].alias("d1"), c["d2"].alias("d2"), c["first"].alias("first"), F.get(ls, c["pos"]).alias("line")))
-    full = rows.select("rid", "text").join(by_text, "rid").select(F.explode_outer(F.element_at(F.transform(F.array(F.split("text", "\n")), picked), 1)).alias("at"))
-    full = scratch.keep(full.select("at.d1", "at.d2", "at.first", F.array_sort(word_hashes(F.col("at.line"))).alias("words")), "line-sets")
-    scratch.drop()
-    x, y = (full.select(F.col("d1").alias(f"{s}_d1"), F.col("d2").alias(f"{s}_d2"), F.struct("first", "d1", "d2").alias(f"{s}_class"), F.col("words").alias(f"{s}_words")) for s in "ab")
-    both = pairs.join(x, ["a_d1", "a_d2"]).join(y, ["b_d1", "b_d2"]).withColumn("common", F.size(F.array_intersect("a_words", "b_words")))
-    match = both.where(F.col("common") * share[1] >= (F.size("a_words") + F.size("b_words") - F.col("common")) * share[0])
-    out = scratch.keep(match.select(F.greatest("a_class", "b_class").alias("c")).select("c.d1", "c.d2", "c.first").distinct(), "later")
-    scratch.drop(full)
-    return out
+def may_match(share: tuple[int, int]) -> Column:
+    """Length, positional and parity filter of two classes at a common word."""
+    sizes = F.least("a_n", "b_n") * share[1] >= F.greatest("a_n", "b_n") * share[0]
+    # The first common word of a match has no common one before it: what follows bounds the rest.
+    rest = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= need(share)
+    unlike = F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd"))) <= F.col("a_n") + F.col("b_n") - 2 * need(share)
+    return sizes & unlike & rest
 
 
-def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int = LEAST) -> DataFrame:
-    """rid (row number of fixed docs), gone (places of the lines that an earlier line stands for) of texts that lose any."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), spaced(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    level = rarity(rows)
-    # A word is its rarity class, then its length, then 52 bits of its hash: sorting puts rare words first, and long
-    # ones first among the many rare words that the counters don't tell apart.
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rare = F.shiftleft(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), 58)
-        return rare.bitwiseOR(F.shiftleft((63 - F.least(F.octet_length(w), F.lit(63))).cast("long"), 52)).bitwiseOR(h.bitwiseAND(F.lit((1 << 52) - 1)))
-
-    ordered = F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split("line", " "), key)), key(F.lit(""))))
-    # One struct from words bound to a lambda's name: each line is split once. Short lines go after it is written.
-    digest = lambda w: F.struct(F.size(w).alias("n"), F.xxhash64(w).alias("d1"), F.xxhash64(F.lit(7), w).alias("d2"), F.when(F.size(w) >= least, F.slice(w, 1, prefix_size(F.size(w), share))).alias("head"), F.when(F.size(w) < LANES, F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.get(F.array(*[F.lit(1 << (8 * i)).cast("long") for i in range(8)]), x.bitwiseAND(F.lit(7)).cast("int")))).alias("spread"))
-    own = _lines(rows).select("rid", "doc_id", "pos", F.element_at(F.transform(F.array(ordered), digest), 1).alias("s"))
-    kept = scratch.keep(own, "lines")
-    lines = kept.where(F.col("s.n") >= least).select("rid", "doc_id", "pos", "s.*")
+def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    return df.select("w", *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+
+def line_sets(rows: DataFrame, level: Column, least: int, share: tuple[int, int]) -> DataFrame:
+    """rid, doc_id, pos, n, d1, d2 (digest), odd (parities) and head (rarest words) of every line of `least` words or more."""
+    # A word is its rarity class, then the low bits of its hash: sorting puts rare words first.
+    key = lambda h: F.coalesce(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW) - 1)))
+    blank = F.lit("")
+    lines = rows.select("rid", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    words = F.array_distinct(F.sort_array(F.transform(F.array_remove(word_hashes(F.col("line")), F.xxhash64(blank)), key)))
+    sets = lines.select("rid", "doc_id", "pos", once(words).alias("words")).where(F.size("words") >= least)
+    parity = lambda odd, w: odd.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
+    n = F.size("words")
+    # Unequal sets of so few words are never at `share`: n / (n + 1) is the best that n words can reach.
+    joins = n * share[1] >= (n + 1) * share[0]
+    head = F.when(joins, F.slice("words", 1, prefix_size(n, share) + 1))
+    odd = F.when(joins, F.aggregate("words", F.lit(0).cast("long"), parity))
+    return sets.select("rid", "doc_id", "pos", n.alias("n"), F.xxhash64("words").alias("d1"), F.xxhash64(F.lit(7), "words").alias("d2"), odd.alias("odd"), head.alias("head"))
+
+
+def numbered_classes(lines: DataFrame) -> DataFrame:
+    """id (in the order of `first`), d1, d2, first (place), copies, n, odd, head of every class of equal sets."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
-    kinds = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("spread").alias("spread"))
-    kinds = scratch.keep(kinds, "kinds")
-    # Pivots: each class beside the earliest class that has one of its PIVOTS rarest words in such a place as well.
-    tops = kinds.select("d1", "d2", "n", "spread", "first", F.explode(F.slice("head", 1, PIVOTS)).alias("w"))
-    pivots = tops.groupBy("w").agg(F.min(F.struct("first", "d1", "d2", "n", "spread")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    beside = tops.select("w", *[F.col(c).alias(f"b_{c}") for c in ("d1", "d2", "n", "spread")]).join(pivots.select("w", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("d1", "d2", "n", "spread")]), "w")
-    beside = beside.where(((F.col("a_d1") != F.col("b_d1")) | (F.col("a_d2") != F.col("b_d2"))) & _alike(share))
-    beside = scratch.keep(beside.select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "pivot-pairs")
-    done = scratch.keep(_later(rows, kinds, beside, share, scratch), "resolved")
-    # Prefix words that two classes share; of two resolved classes the later one is known to go already.
-    marked = kinds.join(done.select("d1", "d2", F.lit(1).alias("done")), ["d1", "d2"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
-    heads = marked.select("d1", "d2", "n", "spread", "done", F.posexplode("head").alias("i", "w"))
-    a, b = (heads.select("w", *[F.col(c).alias(f"{s}_{c}") for c in ("d1", "d2", "n", "i", "spread", "done")]) for s in "ab")
-    other = (F.col("a_d1") < F.col("b_d1")) | ((F.col("a_d1") == F.col("b_d1")) & (F.col("a_d2") < F.col("b_d2")))
-    # A match has a first common word, and no other common one before it: what follows bounds the rest.
-    rest = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= _need(share)
-    pairs = scratch.keep(a.join(b, "w").where(other & (F.col("a_done") + F.col("b_done") < 2) & _alike(share) & rest).select("a_d1", "a_d2", "b_d1", "b_d2").distinct(), "line-pairs")
-    scratch.drop()
-    later = _later(rows, kinds, pairs, share, scratch).select("first").union(done.select("first")).distinct()
+    kinds = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("head").alias("head"))
+    return kinds.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
+
+
+def with_earliest(kinds: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """w, id, n, i, odd of every class and prefix word that has company; near: its classes; p: the earliest of them."""
+    heads = kinds.where(F.col("head").isNotNull()).select("id", "n", "odd", F.posexplode(F.slice("head", 1, F.size("head") - 1)).alias("i", "w"))
+    level = F.shiftrightunsigned("w", LOW).cast("int")
+    part = F.when(level >= SPLIT, F.pmod(F.xxhash64("id"), F.call_function("shiftleft", F.lit(1).cast("long"), level - (SPLIT - 1)))).otherwise(0)
+    group = Window.partitionBy("w", "part")
+    found = heads.withColumn("part", part).withColumn("near", F.count(F.lit(1)).over(group)).withColumn("p", F.first(F.struct("id", "n", "i", "odd")).over(group.orderBy("id")))
+    return found.where("near > 1").withColumn("split", level >= SPLIT).drop("part")
+
+
+def join_keys(company: DataFrame, kinds: DataFrame) -> DataFrame:
+    """w, id, n, i, odd: what is left to join by words of three classes or more, hot words together with a second one."""
+    own = ("w", "id", "n", "i", "odd")
+    left = company.where("split OR near > 2")
+    hot = F.col("split") | (F.col("near") > HOT)
+    pairs = left.where(hot).join(kinds.select("id", "head"), "id")
+    second = pairs.select("id", "n", "i", "odd", "w", F.explode(F.slice("head", F.col("i") + 2, F.size("head"))).alias("w2"))
+    return left.where(~hot).select(*own).union(second.select(F.xxhash64("w", "w2").alias("w"), "id", "n", "i", "odd"))
+
+
+def full_sets(rows: DataFrame, kinds: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, words (hashes of all its words) of the wanted classes, from the texts of their first lines."""
+    where = kinds.join(wanted, "id", "left_semi").select(F.col("first.rid").alias("rid"), F.struct(F.col("first.pos").alias("pos"), "id").alias("at"))
+    by_text = where.groupBy("rid").agg(F.collect_list("at").alias("at"))
+    lines = rows.select("rid", "text").join(by_text, "rid").select("at", once(F.split("text", "\n")).alias("lines")).select("lines", F.explode("at").alias("at"))
+    words = F.array_distinct(F.array_remove(word_hashes(F.get("lines", F.col("at.pos"))), F.xxhash64(F.lit(""))))
+    return lines.select("at.id", words.alias("words"))
+
+
+def is_match(share: tuple[int, int]) -> Column:
+    common = F.size(F.array_intersect("a_words", "b_words"))
+    return common * (share[0] + share[1]) >= (F.size("a_words") + F.size("b_words")) * share[0]
+
+
+def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int = LEAST) -> DataFrame:
+    """rid, gone (places of the lines that an earlier line stands for) of the numbered texts that lose any."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), spaced(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    lines = scratch.keep(line_sets(rows, rarity(rows), least, share), "lines")
+    kinds = scratch.keep(numbered_classes(lines), "kinds")
+    company = scratch.keep(with_earliest(kinds, share), "company")
+    # Pairs with the earliest class of a word.
+    earliest = company.select("w", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("id", "n", "i", "odd")], *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "i", "odd")])
+    pairs = scratch.keep(earliest.where((F.col("a_id") < F.col("b_id")) & may_match(share)).select("a_id", "b_id").distinct(), "pivot-pairs")
+    # Classes with another partner.
+    keys = join_keys(company, kinds)
+    a, b = (side(keys, s, "id", "n", "i", "odd") for s in "ab")
+    partner = (F.col("a_id") < F.col("b_id")) & may_match(share)
+    later = scratch.keep(b.join(a, (b["w"] == a["w"]) & partner, "left_semi"), "later-keys")
+    earlier = scratch.keep(a.join(later, (a["w"] == later["w"]) & partner, "left_semi"), "earlier-keys")
+    wanted = pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).union(later.select("b_id")).union(earlier.select("a_id")).distinct()
+    sets = scratch.keep(full_sets(rows, kinds, wanted), "line-sets")
+    x, y = (sets.select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words")) for s in "ab")
+    resolved = scratch.keep(pairs.join(x, "a_id").join(y, "b_id").where(is_match(share)).select(F.col("b_id").alias("id")).distinct(), "resolved")
+    open_ = later.join(resolved, later["b_id"] == resolved["id"], "left_anti").join(y, "b_id").select("w", "b_id", "b_n", "b_i", "b_odd", "b_words")
+    some = earlier.join(open_.select("w").distinct(), "w", "left_semi").join(x, "a_id").select("w", "a_id", "a_n", "a_i", "a_odd", "a_words")
+    found = open_.join(some, (open_["w"] == some["w"]) & partner & is_match(share), "left_semi").select(F.col("b_id").alias("id"))
+    gone = kinds.join(resolved.union(found).distinct(), "id", "left_semi").select("first.rid", "first.pos")
     copies = lines.join(kinds.where("copies > 1").select("d1", "d2", "first"), ["d1", "d2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
-    gone = copies.select("rid", "pos").union(later.select("first.rid", "first.pos")).groupBy("rid").agg(F.collect_list("pos").alias("gone"))
-    out = scratch.keep(gone, "gone")
-    scratch.drop(kept, kinds, beside, done, pairs)
+    out = scratch.keep(gone.union(copies.select("rid", "pos")).groupBy("rid").agg(F.collect_list("pos").alias("gone")), "gone")
+    scratch.drop(lines, kinds, company, pairs, later, earlier, sets, resolved)
     return out
 
 
-def _cut(docs: DataFrame, share: tuple[int, int], least: int) -> DataFrame:
-    """docs with _tb_lines and _tb_gone, the places of the lines to remove (null for none)."""
-    gone = removed_lines(docs, share, least).select(F.col("rid").alias("_tb_rid"), F.col("gone").alias("_tb_gone"))
-    rows = docs.withColumn("_tb_rid", F.monotonically_increasing_id())
-    return rows.join(gone, "_tb_rid", "left").withColumn("_tb_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
+def _cut(docs: DataFrame, columns: list[str], share: tuple[int, int], least: int) -> DataFrame:
+    """The columns of docs with _tb_lines and _tb_gone, the places of the lines to remove (null for none)."""
+    rows = numbered(docs, *columns, name="_tb_rid")
+    gone = removed_lines(rows.select(F.col("_tb_rid").alias("rid"), "doc_id", "text"), share, least)
+    marked = rows.join(gone.select(F.col("rid").alias("_tb_rid"), F.col("gone").alias("_tb_gone")), "_tb_rid", "left")
+    return marked.withColumn("_tb_lines", F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
 
 
 def kept_text() -> Column:
@@ -157,15 +195,14 @@ def kept_text() -> Column:
 
 def drop_repeated_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int = LEAST) -> DataFrame:
     """docs with the remaining lines as text and, where there is a column n_chars, their code points in it."""
-    docs = fixed(docs)
-    out = _cut(docs, share, least).withColumn("_tb_text", kept_text())
+    out = _cut(docs, docs.columns, share, least).withColumn("_tb_text", kept_text())
     new = {"text": F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("_tb_text")), "n_chars": F.when(F.col("_tb_gone").isNull(), F.col("n_chars") if "n_chars" in docs.columns else F.lit(0)).otherwise(F.length("_tb_text").cast("long"))}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_digest(docs: DataFrame, share: tuple[int, int] = SHARE, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the remaining lines, joined) for every row."""
-    out = _cut(fixed(docs), share, least)
+    out = _cut(docs, ["doc_id", "text"], share, least)
     n = F.when(F.col("_tb_gone").isNull(), F.lit(0)).otherwise(F.size("_tb_gone"))
     return out.select(F.col("doc_id").cast("long"), F.size("_tb_lines").cast("long").alias("n_lines"), n.cast("long").alias("n_removed"), F.sha2(kept_text(), 256).alias("kept_sha256"))
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.common import Scratch, blocks, fixed, stable
+from tarnbeck.llm.common import Scratch, blocks, numbered
 from tarnbeck.llm.graph import components
 from tarnbeck.llm.grams import Words, mix, shingles
 
@@ -147,10 +147,10 @@ def _verify(share: tuple[int, int]):
 
 
 def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
-    """rid, doc_id, n_shingles, cls (rid that stands for equal sets), component (smallest rid reachable) for every row."""
+    """rid, doc_id, n_shingles, cls (rid that stands for equal sets), component (smallest rid reachable) for every row of docs (rid, doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = stable(docs, "doc_id", "text").withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     schema = "rid long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, packed array<long>, odd array<long>"
     sketch = scratch.keep(rows.select("rid", F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, schema), "sketches")
     kinds = sketch.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("rid").alias("cls"))
@@ -225,16 +225,15 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id) for every row."""
-    at = Scratch(docs.sparkSession).keep(classes(docs, share), "classes")
+    at = Scratch(docs.sparkSession).keep(classes(numbered(docs, "doc_id", "text"), share), "classes")
     names = at.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return at.join(names, "component").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
     """The rows of docs, all columns: one of each component, the one with the smallest doc_id (then the first row)."""
-    docs = fixed(docs)
-    at = Scratch(docs.sparkSession).keep(classes(docs, share), "classes")
+    rows = numbered(docs, name="_tb_rid")
+    at = Scratch(docs.sparkSession).keep(classes(rows.select(F.col("_tb_rid").alias("rid"), "doc_id", "text"), share), "classes")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))
     first = at.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("_tb_rid"))
-    rows = docs.withColumn("_tb_rid", F.monotonically_increasing_id())
     return rows.join(first, "_tb_rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

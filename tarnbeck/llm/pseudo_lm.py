@@ -210,7 +210,6 @@ def score(docs: DataFrame) -> DataFrame:
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = scratch.keep(word_blocks(rows), "word-blocks")
     counted = scratch.keep(word_counts(parts), "word-counts")
-    scratch.drop()
     lexicon = Lexicon(counted)
     known = scratch.keep(classed(parts, counted, lexicon), "classed")
     scratch.drop(parts, counted)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.common import Scratch, blocks, large, partitions, stable
+from tarnbeck.llm.common import Scratch, blocks, large, numbered, partitions
 from tarnbeck.llm.grams import VALUES, mix, powers, prefix
 from tarnbeck.llm.sorting import repeated
 
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     scratch, parts = Scratch(spark), 4 * partitions(spark)
     gram = min(gram, length)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = stable(docs, "doc_id", "text").select("rid", F.col("doc_id").cast("long"), text.alias("text"))
+    rows = numbered(docs, "doc_id", "text").select("rid", F.col("doc_id").cast("long"), text.alias("text"))
     emit, schema = _anchor_rows(length, gram)
     anchors = scratch.keep(rows.select("rid", "text").mapInArrow(emit, schema), "anchors")
     met = repeated(anchors, [["lead", "gram"], ["lead", "gram", "stretch"]], ["rid", "place"], scratch, parts, ["met", "settled"])
