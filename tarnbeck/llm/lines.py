@@ -31,13 +31,17 @@ from tarnbeck.llm.common import Scratch, numbered
 SHARE, LEAST = (85, 100), 5
 #: Counters of the rarity order, a power of two: a fixed number, so that the table that every task holds doesn't grow.
 BUCKETS = 1 << 17
+#: What a join of classes needs of each: number, size, place of the word, parities.
+OWN = ("id", "n", "i", "odd")
 #: Bits below a word's rarity class (5 bits) in its key: the low ones of its hash.
 LOW = 58
 #: Rarity class from which on a word's classes are split for the search of its earliest class: below, a word has fewer
 #: than 2 ** SPLIT places in the corpus.
 SPLIT = 20
 #: Classes of a word from which on it is joined together with a second word.
-HOT = 64
+HOT = 1000
+#: Words that are broadcast at most (8 bytes each) to pick the classes that share one; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def spaced(text: Column) -> Column:
@@ -95,9 +99,9 @@ def line_sets(rows: DataFrame, level: Column, least: int, share: tuple[int, int]
     """rid, doc_id, pos, n, d1, d2 (digest), odd (parities) and head (rarest words) of every line of `least` words or more."""
     # A word is its rarity class, then the low bits of its hash: sorting puts rare words first.
     key = lambda h: F.coalesce(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW) - 1)))
-    blank = F.lit("")
+    blank = key(F.xxhash64(F.lit("")))
     lines = rows.select("rid", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    words = F.array_distinct(F.sort_array(F.transform(F.array_remove(word_hashes(F.col("line")), F.xxhash64(blank)), key)))
+    words = F.array_remove(F.array_distinct(F.sort_array(F.transform(word_hashes(F.col("line")), key))), blank)
     sets = lines.select("rid", "doc_id", "pos", once(words).alias("words")).where(F.size("words") >= least)
     parity = lambda odd, w: odd.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))
     n = F.size("words")
@@ -116,23 +120,24 @@ def numbered_classes(lines: DataFrame) -> DataFrame:
 
 
 def with_earliest(kinds: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """w, id, n, i, odd of every class and prefix word that has company; near: its classes; p: the earliest of them."""
+    """w, id, n, i, odd of every class and prefix word that has company; near: its classes; p_id and so on: the earliest of them."""
     heads = kinds.where(F.col("head").isNotNull()).select("id", "n", "odd", F.posexplode(F.slice("head", 1, F.size("head") - 1)).alias("i", "w"))
     level = F.shiftrightunsigned("w", LOW).cast("int")
     part = F.when(level >= SPLIT, F.pmod(F.xxhash64("id"), F.call_function("shiftleft", F.lit(1).cast("long"), level - (SPLIT - 1)))).otherwise(0)
-    group = Window.partitionBy("w", "part")
-    found = heads.withColumn("part", part).withColumn("near", F.count(F.lit(1)).over(group)).withColumn("p", F.first(F.struct("id", "n", "i", "odd")).over(group.orderBy("id")))
+    group = Window.partitionBy("w", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = heads.withColumn("part", part).select("*", F.count(F.lit(1)).over(group).alias("near"), *[F.first(c).over(group).alias(f"p_{c}") for c in OWN])
     return found.where("near > 1").withColumn("split", level >= SPLIT).drop("part")
 
 
 def join_keys(company: DataFrame, kinds: DataFrame) -> DataFrame:
     """w, id, n, i, odd: what is left to join by words of three classes or more, hot words together with a second one."""
-    own = ("w", "id", "n", "i", "odd")
     left = company.where("split OR near > 2")
     hot = F.col("split") | (F.col("near") > HOT)
+    if left.where(hot).isEmpty():
+        return left.select("w", *OWN)
     pairs = left.where(hot).join(kinds.select("id", "head"), "id")
     second = pairs.select("id", "n", "i", "odd", "w", F.explode(F.slice("head", F.col("i") + 2, F.size("head"))).alias("w2"))
-    return left.where(~hot).select(*own).union(second.select(F.xxhash64("w", "w2").alias("w"), "id", "n", "i", "odd"))
+    return left.where(~hot).select("w", *OWN).union(second.select(F.xxhash64("w", "w2").alias("w"), *OWN))
 
 
 def full_sets(rows: DataFrame, kinds: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -155,16 +160,22 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), spaced(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     lines = scratch.keep(line_sets(rows, rarity(rows), least, share), "lines")
     kinds = scratch.keep(numbered_classes(lines), "kinds")
+    copies = lines.join(kinds.where("copies > 1").select("d1", "d2", "first"), ["d1", "d2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
+    copies = scratch.keep(copies.select("rid", "pos"), "copies")
+    scratch.drop(lines)
     company = scratch.keep(with_earliest(kinds, share), "company")
     # Pairs with the earliest class of a word.
-    earliest = company.select("w", *[F.col(f"p.{c}").alias(f"a_{c}") for c in ("id", "n", "i", "odd")], *[F.col(c).alias(f"b_{c}") for c in ("id", "n", "i", "odd")])
+    earliest = company.select("w", *[F.col(f"p_{c}").alias(f"a_{c}") for c in OWN], *[F.col(c).alias(f"b_{c}") for c in OWN])
     pairs = scratch.keep(earliest.where((F.col("a_id") < F.col("b_id")) & may_match(share)).select("a_id", "b_id").distinct(), "pivot-pairs")
     # Classes with another partner.
     keys = join_keys(company, kinds)
-    a, b = (side(keys, s, "id", "n", "i", "odd") for s in "ab")
+    a, b = (side(keys, s, *OWN) for s in "ab")
     partner = (F.col("a_id") < F.col("b_id")) & may_match(share)
     later = scratch.keep(b.join(a, (b["w"] == a["w"]) & partner, "left_semi"), "later-keys")
-    earlier = scratch.keep(a.join(later, (a["w"] == later["w"]) & partner, "left_semi"), "earlier-keys")
+    met = later.select("w").distinct()
+    some = a.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "w", "left_semi")
+    earlier = scratch.keep(some.join(later, (some["w"] == later["w"]) & partner, "left_semi"), "earlier-keys")
+    scratch.drop(company)
     wanted = pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).union(later.select("b_id")).union(earlier.select("a_id")).distinct()
     sets = scratch.keep(full_sets(rows, kinds, wanted), "line-sets")
     x, y = (sets.select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words")) for s in "ab")
@@ -173,9 +184,8 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     some = earlier.join(open_.select("w").distinct(), "w", "left_semi").join(x, "a_id").select("w", "a_id", "a_n", "a_i", "a_odd", "a_words")
     found = open_.join(some, (open_["w"] == some["w"]) & partner & is_match(share), "left_semi").select(F.col("b_id").alias("id"))
     gone = kinds.join(resolved.union(found).distinct(), "id", "left_semi").select("first.rid", "first.pos")
-    copies = lines.join(kinds.where("copies > 1").select("d1", "d2", "first"), ["d1", "d2"]).where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos")))
-    out = scratch.keep(gone.union(copies.select("rid", "pos")).groupBy("rid").agg(F.collect_list("pos").alias("gone")), "gone")
-    scratch.drop(lines, kinds, company, pairs, later, earlier, sets, resolved)
+    out = scratch.keep(gone.union(copies).groupBy("rid").agg(F.collect_list("pos").alias("gone")), "gone")
+    scratch.drop(copies, kinds, pairs, later, earlier, sets, resolved)
     return out
 
 
