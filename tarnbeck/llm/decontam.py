@@ -5,22 +5,27 @@ many shingles as the item, at any place of the document (a shorter document is o
 item if a window's shingles, weighted by how often they occur, have weighted Jaccard similarity with the item's of at
 least `share`.
 
-1. Places where a shingle of the benchmark stands in a document: a window without one has similarity 0. The item
-   shingles are broadcast if they are few (counted first) and joined by a shuffle otherwise.
-2. Windows over these places get 64-bit SimHash fingerprints: a shingle votes on every bit, sixteen words of four
-   16-bit counters take the votes.
+1. A match shares at least ceil(share * size) of the item's shingles, so one of its size - ceil(share * size) + 1
+   rarest is among them (those that the fewest items have). Documents and items that share one are looked at; a
+   shingle that all items have brings none together.
+2. Windows with at least ceil(share * size) places that hold a shingle of the item get 64-bit SimHash fingerprints: a
+   shingle votes on every bit. Votes are summed along the document once (32-bit counters, two in a long), and a window
+   is the difference of two sums, so a long item costs no more than its document.
 3. Multi-index: fingerprints within `radius` of each other agree in one of radius + 1 blocks of bits, so joining the
    blocks of windows and items by item, block and value finds all of them; the Hamming distance is then checked.
-4. Candidates are verified by exact weighted similarity.
+4. Candidates are verified by exact weighted similarity. A place counts for the windows that hold it, but not those
+   that hold as many earlier places of its shingle as the item has: an interval of starts. Intervals are swept once
+   per document and item.
 
 Fingerprints of windows at similarity 0.75 differ in 11 of 64 bits on average, with a standard deviation of 3: at
 radius 20, 2 in 1,000 of such borderline windows escape, and none in practice from 0.85 on. Null and empty texts (of
-documents or items) leak nothing; repeated rows are judged each; extra columns fall away.
+documents or items) leak nothing; repeated rows are judged each; items and documents of any length are taken whole;
+extra columns fall away.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import WORD_SPACE, Scratch, numbered
@@ -28,6 +33,8 @@ from tarnbeck.llm.common import WORD_SPACE, Scratch, numbered
 K, SHARE, RADIUS = 5, (75, 100), 20
 #: Item shingles that are broadcast at most (16 bytes each); a larger benchmark is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Longs that hold the counters of a fingerprint's 64 bits.
+LONGS = 32
 
 
 def shingle_hashes(text: Column) -> Column:
@@ -44,21 +51,18 @@ def with_shingles(rows: DataFrame) -> DataFrame:
 
 
 def votes(h: Column) -> list[Column]:
-    """Sixteen longs with a 16-bit counter for each of four bits of the hash."""
-    out = []
-    for j in range(16):
-        four = F.shiftrightunsigned(h, 4 * j).bitwiseAND(F.lit(15))
-        out.append(sum((F.shiftleft(F.shiftrightunsigned(four, i).bitwiseAND(F.lit(1)), 16 * i) for i in range(1, 4)), four.bitwiseAND(F.lit(1))))
-    return out
+    """LONGS longs with a 32-bit counter for each of two bits of the hash."""
+    bit = lambda i: F.shiftrightunsigned(h, i).bitwiseAND(F.lit(1))
+    return [bit(2 * j).bitwiseOR(F.shiftleft(bit(2 * j + 1), 32)) for j in range(LONGS)]
 
 
 def fingerprint(sums: list[Column], n: Column) -> Column:
     """Bits with a majority of the n votes."""
     out = F.lit(0).cast("long")
     for j, s in enumerate(sums):
-        for i in range(4):
-            bit = F.shiftrightunsigned(s, 16 * i).bitwiseAND(F.lit(65535)) * 2 > n
-            out = out.bitwiseOR(F.shiftleft(bit.cast("long"), 4 * j + i))
+        for i in range(2):
+            count = F.shiftrightunsigned(s, 32 * i).bitwiseAND(F.lit((1 << 32) - 1))
+            out = out.bitwiseOR(F.shiftleft((count * 2 > n).cast("long"), 2 * j + i))
     return out
 
 
@@ -68,49 +72,82 @@ def blocks(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
 
 
-def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n, fp of groups of rows with a shingle `h`."""
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"v{j}") for j, v in enumerate(votes(F.col("h")))])
-    return sums.select(*keys, "n", fingerprint([F.col(f"v{j}") for j in range(16)], F.col("n")).alias("fp"))
+def least_common(size: Column, share: tuple[int, int]) -> Column:
+    return F.ceil(size * share[0] / F.lit(share[1]))
+
+
+def seed_shingles(of_item: DataFrame, items: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """item, h: of each item its rarest shingles, one of which every match has."""
+    rare = of_item.groupBy("h").agg(F.count(F.lit(1)).alias("in_items"))
+    ranked = of_item.join(rare, "h").join(items.select("item", "size"), "item")
+    before = F.sum("in_item").over(Window.partitionBy("item").orderBy("in_items", "h")) - F.col("in_item")
+    # The shingles before this one may all be missing from a match.
+    return ranked.withColumn("before", before).where(F.col("before") <= F.col("size") - least_common(F.col("size"), share)).select("item", "h")
+
+
+def windows_at(hits: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """rid, item, size, count, start, common of the windows with enough places of the item; hits: rid, item, pos, h,
+    in_item, size, count of every place."""
+    key = ["rid", "item"]
+    numbered_hits = hits.withColumn("r", F.row_number().over(Window.partitionBy(*key, "h").orderBy("pos")))
+    same = numbered_hits.select(*key, "h", F.col("pos").alias("full"), (F.col("r") + F.col("in_item")).alias("r"))
+    placed = numbered_hits.join(same, [*key, "h", "r"], "left")
+    low = F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0))
+    high = F.least(F.col("pos"), F.greatest(F.col("count") - F.col("size"), F.lit(0)))
+    counts = F.greatest(low, F.coalesce(F.col("full") + 1, F.lit(0)))
+    step = lambda at, places, common: F.struct(at.cast("long").alias("at"), F.lit(places).alias("places"), common.alias("common"))
+    ends = F.when(counts <= high, F.lit(-1)).otherwise(F.lit(0))
+    steps = F.array(step(low, 1, F.lit(0)), step(counts, 0, -ends), step(high + 1, -1, ends))
+    swept = placed.where(low <= high).select(*key, "size", "count", F.explode(steps).alias("s")).groupBy(*key, "size", "count", "s.at").agg(F.sum("s.places").alias("places"), F.sum("s.common").alias("common"))
+    along = Window.partitionBy(*key).orderBy("at")
+    runs = swept.select(*key, "size", "count", "at", F.lead("at").over(along).alias("next"), F.sum("places").over(along).alias("places"), F.sum("common").over(along).alias("common"))
+    full = runs.where(F.col("next").isNotNull() & (F.col("places") >= least_common(F.col("size"), share)))
+    return full.select(*key, "size", "count", F.explode(F.sequence("at", F.col("next") - 1)).alias("start"), "common")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE, radius: int = RADIUS) -> DataFrame:
     """rid (of numbered docs), doc_id, item_id, start (first best window's shingle), common, total (weighted
     shingles in both, in either) of every leaked item."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     items = with_shingles(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")).where(F.size("shingles") > 0)
-    items = scratch.keep(items.withColumn("item", F.monotonically_increasing_id()), "items").withColumn("size", F.size("shingles"))
+    items = scratch.keep(items.withColumn("item", F.monotonically_increasing_id()), "items").withColumn("size", F.size("shingles").cast("long"))
     item_rows = items.select("item", F.explode("shingles").alias("h"))
     of_item = scratch.keep(item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("in_item")), "item-shingles")
-    seeds = of_item.select("item", "h").join(items.select("item", "size"), "item").groupBy("h").agg(F.collect_list(F.struct("item", "size")).alias("items"))
+    seeds = scratch.keep(seed_shingles(of_item, items, share), "seeds")
     few = of_item.count() <= BROADCAST_ROWS
     rows = docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = with_shingles(rows)
     # Outer, as a plain explode makes Spark add a filter that reckons the shingles once more.
-    at = marked.select("rid", F.size("shingles").alias("count"), F.posexplode_outer("shingles").alias("pos", "h")).join(F.broadcast(seeds) if few else seeds, "h")
-    hits = at.select("rid", "count", "pos", F.explode("items").alias("i")).select("rid", "pos", "i.item", "i.size", "count")
-    last = F.greatest(F.col("count") - F.col("size"), F.lit(0))
-    starts = F.sequence(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)), F.least(F.col("pos"), last))
-    windows = hits.where(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)) <= F.least(F.col("pos"), last)).select("rid", "item", "size", F.explode(starts).alias("start")).distinct()
-    by_doc = scratch.keep(windows.groupBy("rid", "item", "size").agg(F.collect_list("start").alias("starts")), "windows")
+    at = with_shingles(rows).select("rid", F.explode_outer("shingles").alias("h"))
+    pairs = scratch.keep(at.join(F.broadcast(seeds) if few else seeds, "h").select("rid", "item").distinct(), "pairs")
     # The texts move, not their shingles, at every size in the same way.
-    found = with_shingles(rows.join(by_doc.hint("merge"), "rid")).select("rid", "doc_id", "item", "size", "shingles", F.explode("starts").alias("start"))
-    inside = scratch.keep(found.select("rid", "doc_id", "item", "start", F.explode(F.slice("shingles", F.col("start") + 1, F.col("size"))).alias("h")), "window-shingles")
+    some = with_shingles(rows.select("rid", "text").join(pairs.select("rid").distinct().hint("merge"), "rid"))
+    places = scratch.keep(some.select("rid", F.size("shingles").cast("long").alias("count"), F.posexplode_outer("shingles").alias("pos", "h")), "places")
+    own = of_item.join(items.select("item", "size"), "item")
+    hits = places.join(pairs, "rid").join(F.broadcast(own) if few else own, ["item", "h"])
+    windows = scratch.keep(windows_at(hits, share), "windows")
+    # Sums of the votes before each place of the documents that have windows.
+    along = Window.partitionBy("rid").orderBy("pos")
+    voted = places.join(windows.select("rid").distinct(), "rid", "left_semi").select("rid", "pos", *[v.alias(f"v{j}") for j, v in enumerate(votes(F.col("h")))])
+    sums = scratch.keep(voted.select("rid", (F.col("pos") + 1).cast("long").alias("at"), *[F.sum(f"v{j}").over(along).alias(f"v{j}") for j in range(LONGS)]), "vote-sums")
+    begin = sums.select("rid", F.col("at").alias("start"), *[F.col(f"v{j}").alias(f"b{j}") for j in range(LONGS)])
+    end = sums.withColumnRenamed("at", "end")
+    ends = windows.withColumn("n", F.least("size", "count")).withColumn("end", F.col("start") + F.col("n"))
+    spans = ends.join(end, ["rid", "end"]).join(begin, ["rid", "start"], "left")
+    inside = [F.col(f"v{j}") - F.coalesce(F.col(f"b{j}"), F.lit(0)) for j in range(LONGS)]
     # Written, so that the long expression of a fingerprint isn't copied into each of its uses.
-    prints = scratch.keep(_fingerprints(inside, ["rid", "item", "start"]), "prints")
-    item_prints = scratch.keep(_fingerprints(item_rows, ["item"]), "item-prints").select("item", F.col("fp").alias("item_fp"), F.col("n").alias("item_n"))
-    item_blocks = item_prints.select("item", "item_fp", "item_n", F.explode(blocks(F.col("item_fp"), radius)).alias("b")).select("item", "item_fp", "item_n", "b.*")
-    window_blocks = prints.select("rid", "item", "start", "n", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("rid", "item", "start", "n", "fp", "b.*")
+    prints = scratch.keep(spans.select("rid", "item", "start", "n", "size", "common", fingerprint(inside, F.col("n")).alias("fp")), "prints")
+    item_sums = item_rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"v{j}") for j, v in enumerate(votes(F.col("h")))])
+    item_prints = scratch.keep(item_sums.select("item", fingerprint([F.col(f"v{j}") for j in range(LONGS)], F.col("n")).alias("item_fp")), "item-prints")
+    item_blocks = item_prints.select("item", "item_fp", F.explode(blocks(F.col("item_fp"), radius)).alias("b")).select("item", "item_fp", "b.*")
+    window_blocks = prints.select("*", F.explode(blocks(F.col("fp"), radius)).alias("b")).select(*prints.columns, "b.*")
     near = window_blocks.join(item_blocks, ["item", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("rid", "item", "start", "n", "item_n").distinct()
-    counts = inside.join(near, ["rid", "item", "start"], "left_semi").groupBy("rid", "doc_id", "item", "start", "h").agg(F.count(F.lit(1)).alias("in_window"))
-    both = counts.join(of_item, ["item", "h"]).groupBy("rid", "doc_id", "item", "start").agg(F.sum(F.least("in_window", "in_item")).alias("common"))
-    total = (F.col("n") + F.col("item_n") - F.col("common")).alias("total")
-    true = both.join(near, ["rid", "item", "start"]).select("rid", "doc_id", "item", "start", "common", total).where(F.col("common") * share[1] >= F.col("total") * share[0])
+    total = F.col("n") + F.col("size") - F.col("common")
+    true = near.where(F.col("common") * share[1] >= total * share[0]).select("rid", "item", "start", "common", total.alias("total"))
     # Of one document and item, windows differ in `total` by `common` alone: the most common is the most similar.
-    best = true.groupBy("rid", "doc_id", "item").agg(F.max(F.struct(F.col("common"), -F.col("start"), F.col("total"))).alias("b"))
-    return best.join(items.select("item", "item_id"), "item").select("rid", "doc_id", "item_id", (-F.col("b.col2")).cast("long").alias("start"), F.col("b.common").alias("common"), F.col("b.total").alias("total"))
+    best = scratch.keep(true.groupBy("rid", "item").agg(F.max(F.struct(F.col("common"), (-F.col("start")).alias("back"), F.col("total"))).alias("b")), "best")
+    scratch.drop(pairs, places, windows, sums, prints)
+    named = best.join(items.select("item", "item_id"), "item").join(rows.select("rid", "doc_id"), "rid")
+    return named.select("rid", "doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.common").alias("common"), F.col("b.total").alias("total"))
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE, radius: int = RADIUS) -> DataFrame:
