@@ -31,6 +31,8 @@ from tarnbeck.llm.sorting import repeated
 #: Bytes of an anchor; fewer make fewer anchors to sort in step 1, more make fewer strings to sort in step 2.
 GRAM = 240
 _SECOND = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Bits of a place below a hash: the same for texts of any size, as equal strings have to choose equal anchors.
+PLACE_BITS = np.uint64(36)
 _LEAD = np.array([1 << (56 - 8 * i) for i in range(8)], np.uint64)
 
 
@@ -59,7 +61,7 @@ class Anchors:
         m = n - gram + 1
         grams = mix((self.sums[gram:] - self.sums[:m]) * q[:m])
         self.grams = grams
-        bits = np.uint64(max(24, int(m).bit_length()))
+        bits = PLACE_BITS
         low = window_minima((grams >> bits << bits) | np.arange(m, dtype=np.uint64), length - gram + 1)
         at = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         starts = np.arange(len(at))
