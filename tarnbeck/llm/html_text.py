@@ -29,8 +29,9 @@ INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd ma
 #: Tags and words in class, id or role that are features of the blocks below them.
 KEY_TAGS = tuple("article main section nav header footer aside form head title menu button select label figure figcaption table ul ol li p h1 h2 h3 h4 blockquote pre dialog".split())
 KEY_WORDS = tuple("ad ads advert advertisement sponsor promo banner cookie consent notice alert popup modal newsletter subscribe nav menu navbar breadcrumb sidebar side widget related recommended share social footer header masthead comment comments reply disqus discussion login search tags pagination copyright article content post entry story body text main".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A quote delimits a value only behind an equals sign; elsewhere it is a character like any other.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>", re.S)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[\s ]+")
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
