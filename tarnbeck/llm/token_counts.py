@@ -6,9 +6,11 @@ that suffix. Every transition is annotated with the number of tokens it emits (n
 back). States are built when first reached; a character that no piece holds, and a space after anything but a
 space, lead back to the start state.
 
-A text is read in chunks. The map of a chunk is kept as (text before its first reset, count between the first and
-the last reset, text after the last reset): composing two maps joins the open ends and is associative, so the maps
-of one text's chunks compose in a parallel prefix scan of log depth.
+A long text is read in chunks. A chunk's map leads from the state before it to the state after it and the tokens
+emitted between. Maps compose in pairs, level by level, in a parallel prefix scan of log depth. Most states run into
+the same one after a few characters, so a map keeps one run and where others meet it; where they don't (a run of one
+letter), the other state is run to the end, which is exact as well. Shorter texts are cut at marks, where every run is
+back in the start state; their words are remembered with their counts.
 
 Nulls count as empty texts; empty texts have no tokens; repeated rows are counted each; a text of any length is
 read whole. Extra columns fall away.
@@ -77,9 +79,9 @@ class Transducer:
 
     def __init__(self, merges: Merges, known: set[str], cost=lambda c: len(c.encode("utf-8", "surrogatepass"))):
         self.merges, self.known, self.cost = merges, known, cost
-        self._fresh()
+        self.fresh()
 
-    def _fresh(self) -> None:
+    def fresh(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.edges: list[dict[str, tuple[int, int]]] = []
@@ -111,19 +113,67 @@ class Transducer:
         base = count[-1]
         return self._id((text, last, tuple(x - base for x in count))), total - self.states[k][2][-1]
 
+    def edge(self, k: int, c: str) -> tuple[int, int]:
+        if (e := self.edges[k].get(c)) is None:
+            e = self.edges[k][c] = self._step(k, c)
+        return e
+
     def run(self, text: str) -> int:
         """Tokens emitted over the whole text from the start state."""
-        if len(self.states) > STATES:
-            self._fresh()
         k, total, edges = self.start, 0, self.edges
         for c in text:
             if (e := edges[k].get(c)) is None:
-                e = edges[k][c] = self._step(k, c)
+                e = self.edge(k, c)
             k = e[0]
             total += e[1]
         return total
 
 
+class ChunkMap:
+    """The map of a chunk from the state before it to (state after it, tokens emitted).
+
+    It keeps the run from the start state. Another state is run beside that only until both are in the same state, from
+    where they go on alike; where they never meet, to the chunk's end.
+    """
+
+    def __init__(self, machine: Transducer, text: str):
+        self.machine, self.text, self.states, self.totals = machine, text, [], []
+        k, total = machine.start, 0
+        for c in text:
+            k, n = machine.edge(k, c)
+            total += n
+            self.states.append(k)
+            self.totals.append(total)
+        self.exit, self.count = k, total
+
+    def after(self, state: int) -> tuple[int, int]:
+        if state == self.machine.start:
+            return self.exit, self.count
+        total = 0
+        for i, c in enumerate(self.text):
+            state, n = self.machine.edge(state, c)
+            total += n
+            if state == self.states[i]:
+                return self.exit, total + self.count - self.totals[i]
+        return state, total
+
+
+class Composed:
+    """Two neighbouring maps as one."""
+
+    def __init__(self, left: ChunkMap | Composed, right: ChunkMap | Composed):
+        self.left, self.right = left, right
+        self.exit, n = right.after(left.exit)
+        self.count = left.count + n
+
+    def after(self, state: int) -> tuple[int, int]:
+        middle, n = self.left.after(state)
+        if middle == self.left.exit:
+            return self.exit, n + self.count - self.left.count
+        end, m = self.right.after(middle)
+        return end, n + m
+
+
 class Counter:
     """Counts of a SentencePiece byte-pair model."""
 
@@ -144,56 +194,22 @@ class Counter:
             n = self.memo[segment] = self.machine.run(segment)
         return n
 
-    def chunk_map(self, text: str) -> tuple[str, int | None, str]:
-        """(text before the first reset, count up to the last reset or None without a reset, text after it).
-
-        A reset is a mark after anything but a mark: no piece holds a mark behind another character.
-        """
-        parts = [x for x in _SEGMENT.findall(text) if x]
-        if text.startswith(MARK):  # open to the left: marks may precede it in the chunk before
-            parts.insert(0, "")
-        if len(parts) < 3:
-            cut = len(parts[0]) if len(parts) == 2 and parts[0] else None
-            return (text, None, "") if cut is None else (text[:cut], 0, text[cut:])
-        head, tail = parts[0], parts[-1]
-        if not head:
-            head, parts = parts[1], parts[1:]
-            if len(parts) == 1:
-                return text, None, ""
-            if len(parts) == 2:
-                return head, 0, tail
-        return head, sum(map(self._word, parts[1:-1])), tail
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[1] is None and b[1] is None:
-            whole = a[0] + b[0]
-            return self.chunk_map(whole) if MARK in b[0][:1] else (whole, None, "")
-        if a[1] is None:
-            head, n, tail = self.chunk_map(a[0] + b[0]) if b[0].startswith(MARK) else (a[0] + b[0], None, "")
-            return (head, b[1], b[2]) if n is None else (head, n + self._close(tail) + b[1], b[2])
-        open_ = a[2] + b[0]
-        if b[1] is None:
-            head, n, tail = self.chunk_map(open_)
-            return (a[0], a[1], open_) if n is None else (a[0], a[1] + self._close(head) + n, tail)
-        return a[0], a[1] + self._close(open_) + b[1], b[2]
-
-    def _close(self, text: str) -> int:
-        return sum(self._word(x) for x in _SEGMENT.findall(text) if x)
-
-    def scan(self, maps: list[tuple]) -> tuple:
+    def scan(self, maps: list) -> ChunkMap | Composed:
         """All maps composed, in pairs, level by level."""
         while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
     def count(self, text: str, chunk: int = CHUNK_CHARS) -> int:
         if not text:
             return 0
+        if len(self.machine.states) > STATES:
+            self.machine.fresh()
         text = MARK + text.replace(" ", MARK)
-        if len(text) <= chunk:
-            return self._close(text)
-        head, n, tail = self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)])
-        return self._close(head) + (n or 0) + self._close(tail)
+        if len(text) <= chunk:  # a word behind marks starts from the start state
+            return sum(self._word(x) for x in _SEGMENT.findall(text) if x)
+        whole = self.scan([ChunkMap(self.machine, text[i : i + chunk]) for i in range(0, len(text), chunk)])
+        return whole.after(self.machine.start)[1]
 
 
 _counters: dict[str, Counter] = {}
