@@ -7,9 +7,10 @@ embeddings by place, tanh, softmax. A document's score is the sum over all its w
 Counts of all words of the corpus are summed in the cluster and joined back to the blocks of text that hold them, so
 every word is scored by its own count. The number of classes grows with the logarithm of the number of word types; half
 of them hold one of the most frequent words each, the rest share out all other words by frequency (and, where many are
-equally frequent, by hash) in about equal parts of the text. Every partition of the classed documents trains a copy of
-the network on all its documents, from the same start; their mean, weighted by words, is the model. The sums are made
-in whole numbers, so that their order doesn't matter; results depend on how the input is split.
+equally frequent, by hash) in about equal parts of the text. Documents are dealt by hash into groups of about
+GROUP_WORDS words; each group trains a copy of the network on all its documents, in the order of their hashes and from
+the same start. The mean of the copies, weighted by words, is the model. The sums are made in whole numbers, so that
+their order doesn't matter, and no step depends on how the input is split.
 
 Null and empty texts have no words and score 0; repeated rows count and score each; extra columns fall away.
 """
@@ -30,6 +31,8 @@ WIDTH, SIDE, BATCH, RATE = 24, 2, 4096, 0.05
 CLASSES, MORE = 64, 4
 #: Bytes of text whose different words are counted and looked up at a time, and words that a training step holds.
 TEXT_BYTES, STEP_WORDS = 8_000_000, 300_000
+#: Words of a group that trains a copy of the network; their number grows with the corpus.
+GROUP_WORDS = 3_000_000
 _SCALE = 1 << 20
 
 
@@ -117,7 +120,7 @@ def classed(parts: DataFrame, counted: DataFrame, lexicon: Lexicon) -> DataFrame
     return docs.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(look_up, "doc_id long, cls binary, inner double")
 
 
-def steps(batch: pa.RecordBatch):
+def steps(batch: pa.RecordBatch | pa.Table):
     """(first row, row after the last, classes, bounds of the rows) of runs of documents of about STEP_WORDS words."""
     own = batch.column("cls").to_pylist()
     bounds = np.concatenate([[0], np.cumsum([len(c) for c in own])]).astype(np.int64)
@@ -179,21 +182,22 @@ def learn(model: list[np.ndarray], around: np.ndarray, cls: np.ndarray) -> None:
             emb[k] -= np.float32(RATE * 160) * (one.T @ back)
 
 
-def _trained(docs: DataFrame, prior: np.ndarray) -> list[np.ndarray]:
+def _trained(docs: DataFrame, prior: np.ndarray, words: int) -> list[np.ndarray]:
     sizes = [int(np.prod(s)) for s in shapes(len(prior))]
     size = sum(sizes)
 
-    def train(batches):
+    def train(group: pa.Table) -> pa.Table:
         model, seen = start(prior), 0
-        for b in batches:
-            for _, _, cls, at in steps(b):
-                learn(model, contexts(cls, at, len(prior)), cls)
-                seen += len(cls)
-        if seen:
-            flat = np.concatenate([m.ravel() for m in model]).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(np.rint(flat * _SCALE).astype(np.int64)), pa.array(np.full(size, seen))], ["i", "v", "n"])
-
-    parts = docs.select("cls").mapInArrow(train, "i long, v long, n long")
+        group = group.sort_by([("order", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        for _, _, cls, at in steps(group):
+            learn(model, contexts(cls, at, len(prior)), cls)
+            seen += len(cls)
+        flat = np.concatenate([m.ravel() for m in model]).astype(float)
+        return pa.table([pa.array(np.arange(size)), pa.array(np.rint(flat * _SCALE).astype(np.int64)), pa.array(np.full(size, seen))], ["i", "v", "n"])
+
+    order = F.xxhash64("doc_id", "cls")
+    dealt = docs.where(F.length("cls") > 0).select("doc_id", "cls", order.alias("order"), F.pmod(order, F.lit(max(1, words // GROUP_WORDS))).alias("part"))
+    parts = dealt.groupBy("part").applyInArrow(train, "i long, v long, n long")
     exact = lambda c: F.sum(c.cast("decimal(38,0)"))
     rows = parts.groupBy("i").agg(exact(F.col("v") * F.col("n").cast("decimal(18,0)")).alias("v"), exact(F.col("n")).alias("n")).collect()  # one row a weight
     if not rows:
@@ -214,7 +218,7 @@ def score(docs: DataFrame) -> DataFrame:
     known = scratch.keep(classed(parts, counted, lexicon), "classed")
     scratch.drop(parts, counted)
     prior = lexicon.prior
-    model = _trained(known, prior)
+    model = _trained(known, prior, int(lexicon.total.sum()))
 
     def judge(batches):
         for b in batches:
