@@ -28,8 +28,8 @@ RULES = ("symbols", "capitals", "bangs", "dup_lines")
 #: Candidate cutoffs of every rule.
 GRID = (0.05, 0.1, 0.15, 0.2, 0.25, 0.35, 0.5, 0.7)
 RISK, CONFIDENCE = 0.01, 0.05
-#: Strata with cutoffs of their own: the languages with the most labels; all others share one.
-STRATA = 63
+#: Strata whose cutoffs are broadcast at most (a few numbers each); more are joined by a shuffle.
+BROADCAST_ROWS = 10_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_bangs", "n_lines")
@@ -122,52 +122,49 @@ def admissible(k: int, n: int, risk: float, level: float) -> bool:
     return n > 0 and k <= risk * n and binomial_cdf(k, n, risk) <= level
 
 
-def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> dict[str, dict[str, float]]:
-    """Stratum -> rule -> cutoff, of documents that pass the base rule and are labelled good.
+def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """_q_lang and _q_cut_<rule> (infinite if none is admissible) of every stratum with labels.
 
-    Only counts come to the driver: STRATA x RULES x GRID numbers at most. The stratum "" is for all other languages.
+    Of documents that pass the base rule and are labelled good. Counts are summed in the cluster, a row for each
+    stratum; only the number of strata, which divides the confidence, comes to the driver.
     """
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("_q_id")).agg(F.min("quality").alias("_q_good"))
-    held = features.where(~base_failed()).join(good.where("_q_good = 1"), F.col("doc_id") == F.col("_q_id"))
-    sums = [F.sum((v > F.lit(c)).cast("long")).alias(f"{r}@{c}") for r, v in shares().items() for c in GRID]
-    rows = held.groupBy(F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("_q_lang")).agg(F.count(F.lit(1)).alias("n"), *sums)
-    own = rows.orderBy(F.desc("n"), "_q_lang").limit(STRATA).collect()
-    tests = (STRATA + 1) * len(RULES) * len(GRID) if len(own) == STRATA else max(1, len(own)) * len(RULES) * len(GRID)
-    out: dict[str, dict[str, float]] = {"": {}}
-    for row in own:
-        out[row["_q_lang"]] = {r: next((c for c in GRID if admissible(row[f"{r}@{c}"], row["n"], risk / len(RULES), confidence / tests)), math.inf) for r in RULES}
-    if len(own) == STRATA:
-        names = [row["_q_lang"] for row in own]
-        rest = rows.where(~F.col("_q_lang").isin(names)).groupBy().sum().collect()[0]
-        n = rest["sum(n)"] or 0
-        out[""] = {r: next((c for c in GRID if admissible(rest[f"sum({r}@{c})"] or 0, n, risk / len(RULES), confidence / tests)), math.inf) for r in RULES}
-    return out
+    held = features.where(~base_failed()).join(good.where("_q_good = 1").select("_q_id"), F.col("doc_id") == F.col("_q_id"))
+    sums = [F.sum((v > F.lit(c)).cast("long")).alias(f"{r}_{round(100 * c)}") for r, v in shares().items() for c in GRID]
+    rows = Scratch(features.sparkSession).keep(held.groupBy(stratum().alias("_q_lang")).agg(F.count(F.lit(1)).alias("n"), *sums), "label-counts")
+    tests = max(1, rows.count()) * len(RULES) * len(GRID)
+
+    def choose(batches):
+        for b in batches:
+            own = {name: b.column(name).to_pylist() for name in b.schema.names}
+            cuts = [[next((c for c in GRID if admissible(own[f"{r}_{round(100 * c)}"][i], own["n"][i], risk / len(RULES), confidence / tests)), math.inf) for i in range(b.num_rows)] for r in RULES]
+            yield pa.RecordBatch.from_arrays([b.column("_q_lang"), *[pa.array(c, pa.float64()) for c in cuts]], ["_q_lang", *[f"_q_cut_{r}" for r in RULES]])
+
+    return Scratch(features.sparkSession).keep(rows.mapInArrow(choose, "_q_lang string, " + ", ".join(f"_q_cut_{r} double" for r in RULES)), "cutoffs")
+
+
+def stratum() -> F.Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("?"))
 
 
-def verdict(chosen: dict[str, dict[str, float]]) -> F.Column:
-    """True unless the base rule or a share above its stratum's cutoff rejects."""
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("?"))
+def judged(features: DataFrame, cuts: DataFrame) -> DataFrame:
+    """features with _q_kept: true unless the base rule or a share above its stratum's cutoff rejects."""
+    few = cuts.count() <= BROADCAST_ROWS
+    both = features.withColumn("_q_lang", stratum()).join(F.broadcast(cuts) if few else cuts, "_q_lang", "left")
     rejected = F.lit(False)
     for rule, value in shares().items():
-        cut = F.lit(chosen[""].get(rule, math.inf))
-        for stratum, own in chosen.items():
-            if stratum:
-                cut = F.when(lang == stratum, F.lit(own[rule])).otherwise(cut)
-        rejected = rejected | (value > cut)
-    return ~base_failed() & ~rejected
+        rejected = rejected | F.coalesce(value > F.col(f"_q_cut_{rule}"), F.lit(False))
+    return both.withColumn("_q_kept", ~base_failed() & ~rejected)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row."""
     features = Scratch(docs.sparkSession).keep(measured(only(docs, "doc_id", "lang", "text"), ["doc_id", "lang"]), "quality")
-    chosen = cutoffs(features, labels, risk)
-    return features.select(F.col("doc_id").cast("long"), *[F.col(f"_q_{n}").alias(n) for n in _NAMES[:5]], base_failed().alias("base_failed"), verdict(chosen).alias("kept"))
+    out = judged(features, cutoffs(features, labels, risk))
+    return out.select(F.col("doc_id").cast("long"), *[F.col(f"_q_{n}").alias(n) for n in _NAMES[:5]], base_failed().alias("base_failed"), F.col("_q_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK) -> DataFrame:
-    """The rows of docs, all columns, that the rules keep."""
-    scratch = Scratch(docs.sparkSession)
-    features = scratch.keep(measured(only(docs, "doc_id", "lang", "text"), ["doc_id", "lang"]), "quality")
-    chosen = cutoffs(features, labels, risk)
-    scratch.drop(features)
-    return measured(docs, docs.columns).where(verdict(chosen)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs, all columns, that the rules keep. Texts are measured once and written with their measures."""
+    features = Scratch(docs.sparkSession).keep(measured(docs, docs.columns), "quality")
+    return judged(features, cutoffs(features, labels, risk)).where("_q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
