@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnbeck.llm import decontam, html_text, licenses, lines, near_dups, packing, pseudo_lm, quality, substrings, token_counts
 from tarnbeck.llm.queries import ORACLE_SQL, QUERIES, tokenizer
@@ -52,6 +53,30 @@ def test_token_counts(spark):
         assert key((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == key((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in rows)
 
 
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "ab" * 300_000, "the" * 200_000 + " " * 70_000 + "end", "".join(random.Random(7).choice("etaoin shrdlu\n") for _ in range(300_000)).replace(" ", "")])
+def test_token_counts_of_long_texts_without_spaces(text):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    assert token_counts.counter(path).count(text) == len(sentencepiece.SentencePieceProcessor(model_file=path).encode(text))
+
+
+def test_chunk_maps_lead_from_any_state():
+    machine = token_counts.counter(tokenizer("piece_bpe_32k.model")).machine
+    rnd = random.Random(3)
+    for _ in range(50):
+        parts = ["".join(rnd.choice("aaabenst") for _ in range(rnd.randint(1, 12))) for _ in range(4)]
+        maps = [token_counts.ChunkMap(machine, p) for p in parts]
+        left = token_counts.Composed(token_counts.Composed(token_counts.Composed(*maps[:2]), maps[2]), maps[3])
+        right = token_counts.Composed(maps[0], token_counts.Composed(maps[1], token_counts.Composed(*maps[2:])))
+        for state in {machine.start, *maps[0].states[:3]}:
+            k, total = state, 0
+            for c in "".join(parts):
+                k, n = machine.edge(k, c)
+                total += n
+            assert left.after(state) == right.after(state) == (k, total)
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -199,6 +224,16 @@ def test_certified_cutoffs_reject_junk_and_keep_good(spark):
     assert kept == {i for i, _ in good}
 
 
+def test_every_language_has_its_own_cutoffs(spark):
+    rows = [(1000 * g + i, f"l{g}", "plain words that a good text has and some more of them " + str(i)) for g in range(70) for i in range(10)]
+    rows += [(200_000 + i, "l5", "plain words that a good text has and some more of them " + str(i)) for i in range(5000)]
+    rows += [(300_000 + g, f"l{g}", "### $$$ %%% &&& *** ||| ### $$$ a%% b## c$$") for g in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows if i < 300_000], "doc_id long, quality int")
+    gone = {r.doc_id for r in quality.quality_rules(df, labels).where("NOT kept").collect()}
+    assert gone == {300_005}  # the only language with labels enough to certify a cutoff
+
+
 def test_line_dedup_keeps_rows(spark):
     rows = [(1, "the quick brown fox jumps over it\nshort\nshort"), (2, "x\nthe quick brown fox jumps over it\nit over jumps fox brown quick the"), (3, None), (4, ""), (5, "a b")]
     got = {r.doc_id: r.text for r in lines.drop_repeated_lines(frame(spark, rows)).collect()}
@@ -230,7 +265,9 @@ def test_html(spark):
     right = [a == b for p, y in made for a, b in zip(html_text.decode(html_text.features(html_text.blocks(p)), w, t), y)]
     assert sum(right) / len(right) > 0.95
     pages = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, None, "<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav><article><h1>Big &amp; news</h1><p>It was  a\nlong day for all of the people there.<p>The <b>end</b> came.</article><footer>&copy; me</footer>")], "page_id long, url string, html string")
+    pages = pages.union(spark.createDataFrame([(4, "u", "<article><p title=it's data-id='nav'>Hello there, all of you who came to read this.</p><p title=\"a > b\">And more of it.</article>")], pages.schema)).withColumn("text", F.lit("clash"))
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert html_text.extract(pages.limit(0)).count() == 0 and got.pop(4) == "Hello there, all of you who came to read this. And more of it."
     assert got == {1: "", 2: "", 3: "Big & news It was a long day for all of the people there. The end came."}
 
 
@@ -242,6 +279,45 @@ def test_licenses(spark):
     assert rows[-2][1].encode()[m.start_byte : m.end_byte] == b"released UNDER the MIT license" and (m.n_matched, m.n_template) == (5, 5)
 
 
+NOTICES = [
+    ("Licensed under CC BY 4.0", "CC-BY-4.0-short"),
+    ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0-short"),
+    ("Released under the GPL License", "GPL"),
+    ("Released under the BSD License", "BSD"),
+    ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"),
+    ("Mozilla License, Version 2.0", None),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"),
+    ("All rights reserved.", "All-rights-reserved"),
+    ("Released under the new MIT License", "MIT"),
+    ("Licensed under the Apache License, Version 3.0", None),
+    ("released from the public domain of the license", None),
+]
+
+
+def test_licenses_that_one_word_tells_apart(spark):
+    rows = [(i, "Some words before it. " * (i % 3) + text + " and words after" * (i % 2)) for i, (text, _) in enumerate(NOTICES)]
+    rows.append((99, " ".join(f"word{i}" for i in range(50_000)) + " Licensed under CC BY-NC 4.0"))
+    got = {(r.doc_id, r.license) for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {(i, name) for i, (_, name) in enumerate(NOTICES) if name} | {(99, "CC-BY-NC-4.0")}
+
+
+def longest(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def test_alignment_equals_the_full_table():
+    rnd = random.Random(6)
+    for _ in range(300):
+        a = [rnd.randint(0, 6) for _ in range(rnd.randint(1, 9))]
+        b = [rnd.randint(0, 6) for _ in range(rnd.randint(1, 9))]
+        n, first, end = licenses.align(a, b, 0, band=20)
+        assert n == longest(a, b) == longest(a, b[first:end])
+
+
 def test_lm_prefers_seen_order(spark):
     rnd = random.Random(2)
     rows = [(i, " ".join(rnd.choice(["red fox runs", "blue bird flies", "old man sleeps"]) for _ in range(30))) for i in range(400)]
