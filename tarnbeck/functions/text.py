@@ -24,9 +24,13 @@ def stripped(text: Column) -> Column:
 
 
 def question_hash(section: Column, question: Column) -> Column:
-    """Ten hex digits that name a question of a section, whatever its case and inner white space."""
-    plain = F.regexp_replace(F.lower(stripped(question)), r"\s+", " ")
-    return F.substring(F.sha1(F.concat(section, F.lit("|"), plain)), 1, 10)
+    """Ten hex digits that name a question of a section, whatever its case and white space around it."""
+    return F.substring(F.sha1(F.concat(section, F.lit("|"), F.lower(stripped(question)))), 1, 10)
+
+
+def date_part(stamp: Column) -> Column:
+    """The date of an ISO time stamp; a bare date stays, null is empty."""
+    return F.split(F.coalesce(stamp, F.lit("")), "T")[0]
 
 
 def words(text: Column) -> Column:

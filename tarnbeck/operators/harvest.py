@@ -7,16 +7,6 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as T
 
-# Names that carry credentials, and items of a filing that matter.
-CREDENTIAL_KEY = r"(?i)^(apikey|api_key|access_token|token|secret|key)$"
-LEAST_FILING, LEAST_SUMMARY = 50, 100
-
-
-def credential_keys(request: Column) -> Column:
-    """Names in a request (a map) that carry credentials, also with an empty value; null has none."""
-    return F.array_sort(F.filter(F.map_keys(F.coalesce(request, F.create_map().cast("map<string,string>"))), lambda k: k.rlike(CREDENTIAL_KEY)))
-
-
 def material(items: Column, listed: list[str]) -> Column:
     """Whether a filing reports a listed item; one that names no items is kept."""
     return F.coalesce(F.size(items) <= 0, F.lit(True)) | F.arrays_overlap(F.coalesce(items, F.array().cast("array<string>")), F.array(*[F.lit(x) for x in listed]))

@@ -67,12 +67,6 @@ def volume(t: Tables):
     return _bars(t).select("symbol", "day", F.round(F.avg("volume").over(M._frame(20)), 0).alias("average_volume"))
 
 
-@query("F07_trend_signals", f"WITH {BARS}, v AS (SELECT symbol, day, close, volume, round(avg(close) OVER {_W.format(4)}, 2) AS s5, round(avg(close) OVER {_W.format(19)}, 2) AS s20, round(avg(volume) OVER {_W.format(19)}, 0) AS av FROM bars) SELECT symbol, day, close > s5 AS above_sma20, s5 > s20 AS golden, volume > av AS high_volume FROM v WHERE av > 0")
-def signals(t: Tables):
-    rows = _bars(t).select("symbol", "day", "close", "volume", F.round(F.avg("close").over(M._frame(5)), 2).alias("sma20"), F.round(F.avg("close").over(M._frame(20)), 2).alias("sma50"), F.round(F.avg("volume").over(M._frame(20)), 0).alias("average_volume"), F.lit(None).cast("double").alias("rsi"))
-    return M.trend(rows.withColumn("symbol", F.struct("symbol", "day"))).where("high_volume is not null").select("symbol.symbol", "symbol.day", "above_sma20", "golden", "high_volume")
-
-
 @query("F09_relative_strength", f"{_WEEKS}, r AS (SELECT w.symbol, w.week, w.close / nullif(b.close, 0) AS rs FROM weeks w JOIN weeks b ON b.week = w.week AND b.symbol = 'view' WHERE w.symbol <> 'view') SELECT symbol, week, round(rs / first_value(rs) OVER (PARTITION BY symbol ORDER BY week), 6) AS rs FROM r")
 def strength(t: Tables):
     return M.relative_strength(M.weekly(_bars(t)), "view")

@@ -158,11 +158,6 @@ def word_counts(t: Tables):
     return t.corpus().groupBy("kind").agg(F.sum(T.word_count(F.col("body"))).alias("words"), F.count(F.lit(1)).alias("docs"))
 
 
-@query("I02_question_hash")
-def question_hash(t: Tables):
-    return t("conversations").select("conv_id", "turn", T.question_hash(F.col("role"), F.col("text")).alias("qhash"))
-
-
 @query("I01_slug", f"WITH {CORPUS} SELECT id, substring(trim(regexp_replace(regexp_replace(lower(substring(body, 1, 90)), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-'), 1, 60) AS slug FROM corpus")
 def slugs(t: Tables):
     return t.corpus().select("id", T.slug(F.substring("body", 1, 90)).alias("slug"))

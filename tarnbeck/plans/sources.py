@@ -22,12 +22,6 @@ def producer_shapes(t: Tables):
     return N.findings(metas, ["id"], N.producer_problems())
 
 
-@query("C05_credential_keys", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'API_KEY' WHEN c_custkey % 3 = 1 THEN '' ELSE 'Token' END AS keys FROM customer")
-def credential_keys(t: Tables):
-    name = F.when(F.col("c_custkey") % 3 == 0, "API_KEY").when(F.col("c_custkey") % 3 == 1, "page").otherwise("Token")
-    return t("customer").select(F.col("c_custkey").alias("id"), F.array_join(H.credential_keys(F.create_map(name, F.lit(""), F.lit("monkey"), F.lit("x"))), ",").alias("keys"))
-
-
 _FILED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN '2.0' || (o_orderkey % 4) || ',9.0' || (o_orderkey % 2) ELSE '' END AS items FROM {orders}"
 
 
