@@ -22,8 +22,16 @@ BLOCKS = {
     "link_local": ("169.254.0.0/16",),
     "multicast": ("224.0.0.0/4",),
     "reserved": ("240.0.0.0/4",),
-    "private": ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"),
+    "private": ("0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24"),
 }
+# The same for IPv6, by the first group of sixteen bits (first, last).
+WIDE_BLOCKS = {
+    "link_local": ((0xFE80, 0xFEBF),),
+    "multicast": ((0xFF00, 0xFFFF),),
+    "reserved": ((0x0000, 0x1FFF), (0x4000, 0xFBFF), (0xFE00, 0xFE7F)),
+    "private": ((0xFC00, 0xFDFF),),
+}
+WIDE_METADATA = "fd00:ec2::254"
 
 
 def verdict_problems() -> dict[str, Column]:
@@ -84,8 +92,13 @@ def _inside(number: Column, block: str) -> Column:
 
 def address_kind(ip: Column) -> Column:
     """Kind of an address, `public` outside the blocks, `invalid` for what is none."""
-    number = ip_number(ip)
-    out = F.when(number.isNull(), "invalid")
+    number, low = ip_number(ip), F.lower(ip)
+    first = F.conv(F.regexp_extract(low, "^([0-9a-f]*):", 1), 16, 10).cast("long")
+    wide = F.when(low == WIDE_METADATA, "metadata").when(low.rlike("^[0:]+$"), "unspecified").when(low.rlike("^[0:]*:0{0,3}1$"), "loopback")
+    for kind, spans in WIDE_BLOCKS.items():
+        wide = wide.when(reduce(lambda a, b: a | b, [F.coalesce(first, F.lit(0)).between(*s) for s in spans]), kind)
+    wide = wide.when(F.startswith(low, F.lit("2001:db8:")), "private").otherwise("public")
+    out = F.when(number.isNull() & low.rlike("^[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}$"), wide).when(number.isNull(), "invalid")
     for kind, blocks in BLOCKS.items():
         out = out.when(reduce(lambda a, b: a | b, [_inside(number, b) for b in blocks]), kind)
     return out.otherwise("public")

@@ -16,8 +16,21 @@ SECRETS = {
 }
 INTERNAL = (r"\b[\w.-]+\.json\b", r"\b(?:structured|derived|sources|wiki|charts)/", r"\bdata/[A-Z][A-Z0-9.-]{0,9}\b", r"\b00_manifest\b")
 THIN, BLOCK_CHARS, MOST_CHARS = 400, 300, 1_500_000
-BLOCK_WORDS = ("access denied", "captcha", "verify you are human", "enable javascript", "just a moment")
-ESCALATE = ("timeout", "connect", "blocked", "thin", "ssl")
+BLOCK_WORDS = (
+    "access denied", "access to this page has been denied",
+    "page not found", "404 - page not found", "error 404",
+    "just a moment", "are you a robot", "attention required",
+    "security screening", "enhanced security", "captcha",
+    "authentication failed", "please enable javascript", "request blocked",
+    "forbidden", "too many requests", "rate limit",
+)
+ESCALATE = (
+    "transport_error", "too_many_redirects", "redirect_without_location",
+    "thin_content", "blocked_page",
+    "playwright_unavailable", "playwright_error", "playwright_timeout",
+    "brightdata_unavailable", "brightdata_error", "brightdata_status", "brightdata_empty",
+    "tier_error",
+)
 
 
 def listed(problems: dict[str, Column]) -> Column:
@@ -70,6 +83,7 @@ def internal_names(text: Column) -> Column:
 
 
 def block_page(title: Column, body: Column) -> Column:
+    """A title that names a wall, or so short a body with such a name in it."""
     marks = "|".join(BLOCK_WORDS)
     return F.lower(F.coalesce(title, F.lit(""))).rlike(marks) | ((F.length(body) <= BLOCK_CHARS) & F.lower(body).rlike(marks))
 
@@ -81,7 +95,8 @@ def page_verdict(title: Column, body: Column) -> Column:
 
 
 def escalatable(error: Column) -> Column:
-    reason = F.split(error, ":")[0]
+    """Whether another way of fetching may help, by the code before the colon; without an error it doesn't."""
+    reason = F.btrim(F.split(F.coalesce(error, F.lit("")), ":")[0])
     return reason.isin(*ESCALATE) | F.startswith(reason, F.lit("http_"))
 
 

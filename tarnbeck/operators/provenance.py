@@ -63,9 +63,18 @@ def invalidated(answers: DataFrame, stamps: DataFrame, superseded: DataFrame) ->
 
 
 def first_arrival(answered: DataFrame, arrivals: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """qid, evidence: the first (by ord) arrival of a subscribed kind after the answer (or at any time if unanswered)."""
-    hits = answered.join(subscriptions, "section").join(arrivals, "kind").where(F.col("answered_at").isNull() | (F.col("stamp") > F.col("answered_at")))
-    return hits.groupBy("qid").agg(F.min_by("id", "ord").alias("evidence"))
+    """qid, evidence: the first (by ord) arrival of a subscribed kind after the answer (or at any time if unanswered).
+
+    The first arrival of each kind and day is found once; a question looks at later days there and at single arrivals of
+    its own day alone. A kind's days are bounded by the calendar.
+    """
+    first = arrivals.groupBy("kind", F.to_date("stamp").alias("day")).agg(F.min(F.struct("ord", "id")).alias("best"))
+    days = first.groupBy("kind").agg(F.collect_list(F.struct("day", "best")).alias("days"))
+    asked = answered.join(subscriptions, "section").withColumn("day", F.to_date("answered_at"))
+    later = F.transform(F.filter("days", lambda d: F.col("day").isNull() | (d["day"] > F.col("day"))), lambda d: d["best"])
+    rest = asked.join(days, "kind").select("qid", F.array_min(later).alias("best")).where("best is not null")
+    own = asked.join(arrivals.withColumn("day", F.to_date("stamp")), ["kind", "day"]).where("stamp > answered_at").select("qid", F.struct("ord", "id").alias("best"))
+    return rest.union(own).groupBy("qid").agg(F.min("best").alias("best")).select("qid", F.col("best.id").alias("evidence"))
 
 
 def ids_with_suffix(wanted: DataFrame) -> DataFrame:

@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as T
 
 
+def compiled(terms: list[str]) -> list[str]:
+    """The terms, if each is a regular expression; one that isn't is named, as a silent miss would read as no evidence."""
+    for term in terms:
+        try:
+            re.compile(term)
+        except re.error as e:
+            raise ValueError(f"invalid term {term!r}: {e}") from e
+    return terms
+
+
 def matched_terms(docs: DataFrame, terms: list[str], kinds: list[str] | None = None) -> DataFrame:
     """docs with `matched`, the number of different terms (regular expressions, any case) that the body holds.
 
-    A fixed term list becomes flags within one scan: no join, and the kind filter reaches the files.
+    Terms are matched line by line, with ^ and $ at the ends of lines. A fixed term list becomes flags within one scan:
+    no join, and the kind filter reaches the files.
     """
     rows = docs.where(F.col("kind").isin(kinds)) if kinds else docs
-    flags = [F.col("body").rlike(f"(?i){t}").cast("long") for t in dict.fromkeys(terms)]
+    flags = [F.col("body").rlike(f"(?im){t}").cast("long") for t in compiled(list(dict.fromkeys(terms)))]
     return rows.withColumn("matched", sum(flags[1:], flags[0])).where("matched > 0")
 
 
@@ -34,13 +47,25 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 
 def ranked_per_question(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The k best documents of every question (qid, terms array) by terms held as words, newest, id.
+    """The k best documents of every question (qid, terms array) by terms that they hold, newest, id.
 
-    Terms and the documents' words meet in an equi-join, so many questions at once need no nested loop.
+    A term (three characters or more, no white space) is held if a word contains it, a dot in it standing for any
+    character. Terms meet the vocabulary in an equi-join on three characters of both, without a dot where there are
+    such, and then the documents on whole words: many questions at once need no nested loop.
     """
     asked = questions.select("qid", F.explode("terms").alias("term"))
-    vocabulary = asked.select("term").distinct()
-    held = docs.select("id", "as_of", F.explode(F.array_distinct(F.split(F.lower("body"), "[^a-z0-9&/.-]+"))).alias("term")).join(vocabulary, "term", "left_semi")
+    words = docs.select("id", "as_of", F.explode(F.array_distinct(F.split(F.lower("body"), r"\s+"))).alias("word"))
+    threes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))
+    vocabulary = words.select("word").distinct()
+    terms = asked.select("term").distinct()
+    # Terms whose runs between dots are all shorter than three characters are matched on every word; there are few.
+    whole = F.get(F.filter(threes(F.col("term")), lambda x: ~F.contains(x, F.lit("."))), F.lit(0))
+    keyed = terms.withColumn("k", whole)
+    met = vocabulary.select("word", F.explode(F.array_distinct(threes(F.col("word")))).alias("k")).join(keyed.where("k is not null"), "k").select("term", "word")
+    dotted = keyed.where("k is null").select("term", F.length("term").alias("n"))
+    short = vocabulary.select("word", F.explode(F.sequence(F.lit(3), F.greatest(F.length("word"), F.lit(3)))).alias("n")).join(dotted, "n").select("term", "word")
+    found = met.union(short).where(F.expr("CASE WHEN contains(term, '.') THEN regexp_like(word, term) ELSE contains(word, term) END")).distinct()
+    held = words.join(found, "word").select("id", "as_of", "term").distinct()
     counts = held.join(asked, "term").groupBy("qid", "id", "as_of").agg(F.count(F.lit(1)).alias("matched"))
     best = Window.partitionBy("qid").orderBy(F.desc("matched"), F.desc("as_of"), F.asc("id"))
     return counts.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)

@@ -15,7 +15,12 @@ from tarnbeck.plans.base import CORPUS, NOW, Tables, query
 TERMS = ["the", "schlich", "licen[sc]e", "queeau"]
 _TERMS = " + ".join(f"cast(regexp_matches(body, '(?i){t}') AS BIGINT)" for t in TERMS)
 #: Words that don't search.
-STOP = "the and for are was with that this from what which how has have had its into than then when where who why will would can could does did".split()
+STOP = """
+a about after against all also an and any are as at be been being between both but by can did do does doing during each
+for from had has have how if in into is it its many may might more most much no not of on or other our over should since
+so some such than that the their them then there these they this those through to under until up was were what when where
+which while who why will with would
+""".split()
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
 
 
@@ -59,15 +64,16 @@ def query_terms(t: Tables):
     return rows.select("conv_id", "turn", F.array_join(F.array_sort(T.query_terms(F.col("text"), STOP)), " ").alias("terms"))
 
 
-_RANKED = f"""WITH {CORPUS}, q AS (SELECT item_id AS qid, list_slice(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9&/.-]+'), lambda x: length(x) >= 6))), 1, 8) AS terms FROM benchmark),
-  a AS (SELECT qid, unnest(terms) AS term FROM q),
-  h AS (SELECT DISTINCT id, as_of, unnest(regexp_split_to_array(lower(body), '[^a-z0-9&/.-]+')) AS term FROM corpus),
-  ranked AS (SELECT qid, id, count(*) AS matched, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, as_of DESC, id) AS rank FROM h JOIN a USING (term) GROUP BY qid, id, as_of QUALIFY rank <= 10)"""
+_RANKED = f"""WITH {CORPUS}, a AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, trim(unnest(regexp_extract_all(lower(text), '{T.QUERY_TOKEN}')), '.-/&') AS term FROM benchmark) WHERE length(term) >= 3 AND NOT list_contains({_STOP}, term)),
+  h AS (SELECT DISTINCT id, as_of, unnest(regexp_split_to_array(lower(body), '\s+')) AS word FROM corpus),
+  vocabulary AS (SELECT DISTINCT word FROM h), terms AS (SELECT DISTINCT term FROM a),
+  found AS (SELECT term, word FROM terms, vocabulary WHERE CASE WHEN contains(term, '.') THEN regexp_matches(word, term) ELSE contains(word, term) END),
+  held AS (SELECT DISTINCT id, as_of, term FROM h JOIN found USING (word)),
+  ranked AS (SELECT qid, id, count(*) AS matched, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, as_of DESC, id) AS rank FROM held JOIN a USING (term) GROUP BY qid, id, as_of QUALIFY rank <= 10)"""
 
 
 def _ranked(t: Tables):
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9&/.-]+"), lambda x: F.length(x) >= 6)
-    questions = t("benchmark").select(F.col("item_id").alias("qid"), F.slice(F.array_sort(F.array_distinct(words)), 1, 8).alias("terms"))
+    questions = t("benchmark").select(F.col("item_id").alias("qid"), T.query_terms(F.col("text"), STOP).alias("terms"))
     return R.ranked_per_question(t.corpus(), questions, 10)
 
 
@@ -76,16 +82,17 @@ def ranked(t: Tables):
     return _ranked(t).select("qid", "id", "matched", "rank")
 
 
-_GOLD = f"g AS (SELECT qid, c.id FROM (SELECT item_id AS qid, substring(text, 1, 60) AS head FROM benchmark) b JOIN (SELECT id, body FROM corpus) c ON contains(c.body, b.head))"
+_GOLD = "g AS (SELECT DISTINCT b.item_id AS qid, c.id FROM benchmark b JOIN corpus c ON contains(c.body, b.text))"
 
 
 def _gold(t: Tables):
-    """Documents with an item's first characters: an equi-join on three whole words of them, then the exact test."""
-    items = t("benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("head"))
-    asked = items.withColumn("k", F.array_join(F.slice(T.words(F.col("head")), 2, 3), " "))
-    docs = t.corpus().select("id", "body", T.words(F.col("body")).alias("w")).where(F.size("w") >= 3)
-    grams = docs.select("id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("k"))
-    return grams.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, "k").where(F.contains("body", "head")).select("qid", "id").distinct()
+    """Documents that hold the whole of an item: an equi-join on three words of it, then the exact test on the few that meet."""
+    items = t("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
+    asked = items.select("qid", F.array_join(F.slice(T.words(F.col("item")), 2, 3), " ").alias("k"))
+    docs = t.corpus().select("id", T.words(F.col("body")).alias("w")).where(F.size("w") >= 3)
+    grams = docs.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("k"))
+    met = grams.join(F.broadcast(asked) if asked.count() <= 100_000 else asked, "k").select("qid", "id").distinct()
+    return met.join(t.corpus().select("id", "body"), "id").join(items, "qid").where(F.contains("body", "item")).select("qid", "id").distinct()
 
 
 @query("D13_recall_at_k", f"{_RANKED}, {_GOLD} SELECT g.qid, count(*) AS n_gold, round(sum(CASE WHEN r.id IS NULL THEN 0 ELSE 1 END) / count(*), 4) AS recall FROM g LEFT JOIN ranked r ON r.qid = g.qid AND r.id = g.id GROUP BY g.qid")
@@ -158,9 +165,9 @@ def word_counts(t: Tables):
     return t.corpus().groupBy("kind").agg(F.sum(T.word_count(F.col("body"))).alias("words"), F.count(F.lit(1)).alias("docs"))
 
 
-@query("I01_slug", f"WITH {CORPUS} SELECT id, substring(trim(regexp_replace(regexp_replace(lower(substring(body, 1, 90)), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-'), 1, 60) AS slug FROM corpus")
+@query("I01_slug", f"WITH {CORPUS} SELECT id, substring(trim(regexp_replace(regexp_replace(lower(body), '[^a-z0-9-]', '-', 'g'), '-+', '-', 'g'), '-'), 1, 60) AS slug FROM corpus")
 def slugs(t: Tables):
-    return t.corpus().select("id", T.slug(F.substring("body", 1, 90)).alias("slug"))
+    return t.corpus().select("id", T.slug(F.col("body")).alias("slug"))
 
 
 @query("I11_site_name", "SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#:]+)', 1)), '^www\\.', '') AS site FROM pages")
@@ -202,9 +209,9 @@ def lineage(t: Tables):
     return P.lineage(edges)
 
 
-@query("J01_policy_staleness", f"""SELECT user_id, CASE WHEN user_id % 5 = 0 THEN epoch(timestamp '{NOW}') - epoch(date_trunc('second', f)) > 86400 * 3 WHEN user_id % 5 = 1 THEN cast(f AS DATE) < date '2024-01-30' ELSE epoch(timestamp '{NOW}') - epoch(date_trunc('second', f)) > 86400 * 7 END AS stale FROM (SELECT user_id, max(ts) AS f FROM events WHERE user_id % 3 <> 0 GROUP BY user_id)""")
+@query("J01_policy_staleness", f"""SELECT user_id, CASE WHEN user_id % 5 = 0 THEN epoch(timestamp '{NOW}') - epoch(date_trunc('second', f)) > 86400 * 3 WHEN user_id % 5 = 1 THEN cast(f AS DATE) < date '2024-01-30' ELSE epoch(timestamp '{NOW}') - epoch(date_trunc('second', f)) > 86400 * 7 END AS stale FROM (SELECT user_id, max(ts) AS f FROM events GROUP BY user_id)""")
 def staleness(t: Tables):
-    last = t("events").where("user_id % 3 <> 0").groupBy("user_id").agg(F.max("ts").alias("f"))
+    last = t("events").groupBy("user_id").agg(F.max("ts").alias("f"))
     limit = F.when(F.col("user_id") % 5 == 0, F.lit(3))
     due = P.stale(F.lit(NOW).cast("timestamp"), limit, F.col("f"), F.col("user_id") % 5 == 1, F.lit("2024-01-30").cast("date"), F.lit(False))
     return last.select("user_id", due.alias("stale"))

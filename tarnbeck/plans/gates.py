@@ -131,7 +131,7 @@ def harvest_targets(t: Tables):
 
 
 _LEDGER = "SELECT role AS section, text AS question FROM {conversations} WHERE turn = 0"
-_NEW = "SELECT conv_id * 1000 + turn AS ord, role AS section, CASE WHEN turn = 1 THEN '  ' || upper(text) ELSE text END AS question FROM {conversations}"
+_NEW = "SELECT conv_id * 1000 + turn AS ord, role AS section, CASE WHEN turn = 1 THEN '  ' || text ELSE text END AS question FROM {conversations}"
 _HASH = "substring(sha1(section || '|' || lower(regexp_replace(question, '^\\s+|\\s+$', '', 'g'))), 1, 10)"
 
 

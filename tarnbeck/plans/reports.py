@@ -97,13 +97,14 @@ def ownership(t: Tables):
     return R.owned_elsewhere(rows(t, DOCS), t.spark.createDataFrame(_OWNERS, "phrase string, section string"))
 
 
-_CITED = "SELECT page_id AS id, url AS a, coalesce(lag(url) OVER (ORDER BY page_id), 'none') AS b FROM {pages}"
+_CITED = "SELECT p.page_id AS id, p.url AS a, coalesce(q.url, 'none') AS b FROM {pages} p LEFT JOIN (SELECT page_id + 1 AS page_id, min(url) AS url FROM {pages} GROUP BY page_id) q ON q.page_id = p.page_id"
+_CURRENT = "SELECT url, page_id AS source FROM {pages} WHERE html LIKE '%<article%'"
 
 
-@query("D17_origins", f"WITH c AS ({plain(_CITED)}), s AS (SELECT url, min(page_id) AS source FROM pages WHERE page_id % 3 <> 0 GROUP BY url) SELECT c.id, concat_ws(',', x.source, y.source) AS sources FROM c LEFT JOIN s x ON x.url = c.b LEFT JOIN s y ON y.url = c.a WHERE x.source IS NOT NULL OR y.source IS NOT NULL")
+@query("D17_origins", f"WITH c AS ({plain(_CITED)}), s AS (SELECT url, min(source) AS source FROM ({plain(_CURRENT)}) GROUP BY url) SELECT c.id, concat_ws(',', x.source, y.source) AS sources FROM c LEFT JOIN s x ON x.url = c.b LEFT JOIN s y ON y.url = c.a WHERE x.source IS NOT NULL OR y.source IS NOT NULL")
 def origins(t: Tables):
     carriers = rows(t, _CITED).select("id", F.array("b", "a").alias("urls"))
-    out = R.origins(carriers, t("pages").where("page_id % 3 <> 0").select("url", F.col("page_id").alias("source")))
+    out = R.origins(carriers, rows(t, _CURRENT))
     return out.select("id", F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
 
 
@@ -173,13 +174,13 @@ def amendments(t: Tables):
     return rows(t, _FORMS).select("id", C.amendment(F.col("form")).alias("amended"))
 
 
-_IPS = """SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN '::ffff:10.1.' || (c_custkey % 256) || '.3' WHEN c_custkey % 19 = 0 THEN '169.254.169.' || (250 + c_custkey % 6) WHEN c_custkey % 23 = 0 THEN 'fe80::1'
+_IPS = """SELECT c_custkey AS id, CASE WHEN c_custkey % 17 = 0 THEN '::ffff:10.1.' || (c_custkey % 256) || '.3' WHEN c_custkey % 19 = 0 THEN '169.254.169.' || (250 + c_custkey % 6) WHEN c_custkey % 23 = 0 THEN CASE c_nationkey % 10 WHEN 0 THEN '::1' WHEN 1 THEN '::' WHEN 2 THEN 'fd00:ec2::254' WHEN 3 THEN 'fe80::1' WHEN 4 THEN 'febf:0::2' WHEN 5 THEN 'ff02::1' WHEN 6 THEN 'fc00::a:b' WHEN 7 THEN '2001:db8:0::1' WHEN 8 THEN '4000::1' ELSE '2606:4700::1111' END
     WHEN c_custkey % 29 = 0 THEN '0.0.0.' || (c_custkey % 2) WHEN c_custkey % 3 = 0 THEN '172.' || (c_custkey % 40) || '.0.' || (c_custkey % 300) ELSE (c_custkey % 260) || '.168.0.1' END AS ip FROM {customer}"""
 
 
-@query("C13_address_kind", f"""WITH s AS (SELECT id, string_split(replace(ip, '::ffff:', ''), '.') AS p FROM ({plain(_IPS)})), n AS (SELECT id, list_transform(p, lambda x: try_cast(x AS BIGINT)) AS p FROM s)
-    SELECT id, CASE WHEN len(p) <> 4 OR list_contains(list_transform(p, lambda x: x IS NULL OR x > 255), true) THEN 'invalid' WHEN p = [169, 254, 169, 254] THEN 'metadata' WHEN p = [0, 0, 0, 0] THEN 'unspecified' WHEN p[1] = 127 THEN 'loopback'
-      WHEN p[1] = 169 AND p[2] = 254 THEN 'link_local' WHEN p[1] BETWEEN 224 AND 239 THEN 'multicast' WHEN p[1] >= 240 THEN 'reserved' WHEN p[1] = 10 OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31) OR (p[1] = 192 AND p[2] = 168) THEN 'private' ELSE 'public' END AS kind FROM n""")
+@query("C13_address_kind", f"""WITH s AS (SELECT id, string_split(replace(ip, '::ffff:', ''), '.') AS p, ip FROM ({plain(_IPS)})), n AS (SELECT id, ip, list_transform(p, lambda x: try_cast(x AS BIGINT)) AS p FROM s)
+    SELECT id, CASE WHEN ip = '::1' THEN 'loopback' WHEN ip = '::' THEN 'unspecified' WHEN ip = 'fd00:ec2::254' THEN 'metadata' WHEN ip LIKE 'fe8%' OR ip LIKE 'feb%' THEN 'link_local' WHEN ip LIKE 'ff%' THEN 'multicast' WHEN ip LIKE 'fc%' OR ip LIKE 'fd%' OR ip LIKE '2001:db8:%' THEN 'private' WHEN ip LIKE '4%:%' THEN 'reserved' WHEN ip LIKE '26%:%' THEN 'public' WHEN len(p) <> 4 OR list_contains(list_transform(p, lambda x: x IS NULL OR x > 255), true) THEN 'invalid' WHEN p = [169, 254, 169, 254] THEN 'metadata' WHEN p = [0, 0, 0, 0] THEN 'unspecified' WHEN p[1] = 127 THEN 'loopback'
+      WHEN p[1] = 169 AND p[2] = 254 THEN 'link_local' WHEN p[1] BETWEEN 224 AND 239 THEN 'multicast' WHEN p[1] >= 240 THEN 'reserved' WHEN p[1] = 10 OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31) OR (p[1] = 192 AND p[2] = 168) OR p[1] = 0 THEN 'private' ELSE 'public' END AS kind FROM n""")
 def address_kind(t: Tables):
     return rows(t, _IPS).select("id", C.address_kind(F.col("ip")).alias("kind"))
 

@@ -31,10 +31,13 @@ def material_filings(t: Tables):
     return rows(t, _FILED).where(H.material(items, ["2.02", "9.01"])).select("id")
 
 
-@query("C12_escalatable", "SELECT c_custkey AS id, c_custkey % 5 IN (0, 1, 3) AS escalates FROM customer")
+_ERRORS = [*N.ESCALATE, "http_403", "http_503", "mime_not_allowed", "too_large", "private", "pdf_empty", "loopback"]
+_ERROR = f"CASE c_nationkey {' '.join(f'WHEN {i} THEN {x!r}' for i, x in enumerate(_ERRORS))} END || CASE WHEN c_acctbal > 0 THEN ' : ' || c_custkey ELSE '' END"
+
+
+@query("C12_escalatable", f"SELECT c_custkey AS id, coalesce(trim(string_split(e, ':')[1]) IN ({', '.join(repr(x) for x in N.ESCALATE)}) OR trim(e) LIKE 'http\\_%' ESCALATE '\\', false) AS escalates FROM (SELECT c_custkey, {_ERROR} AS e FROM customer)".replace("ESCALATE '\\'", "ESCAPE '\\'"))
 def escalatable(t: Tables):
-    reason = F.get(F.array(*[F.lit(x) for x in ("timeout: 30s", "http_503", "mime: pdf", "thin: 20", "private")]), (F.col("c_custkey") % 5).cast("int"))
-    return t("customer").select(F.col("c_custkey").alias("id"), N.escalatable(reason).alias("escalates"))
+    return rows(t, f"SELECT c_custkey AS id, {_ERROR} AS e FROM {{customer}}").select("id", N.escalatable(F.col("e")).alias("escalates"))
 
 
 _URLS = "SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'ftp://x.org/' || page_id WHEN 2 THEN 'https:///p' ELSE NULL END AS url FROM {pages}"

@@ -25,7 +25,7 @@ def test_versions(spark, tmp_path):
 
 
 def test_addresses(spark):
-    ips = [("::ffff:127.0.0.1", "loopback"), ("1.2.3", "invalid"), ("1.2.3.256", "invalid"), ("::1", "invalid"), (None, "invalid"), ("", "invalid"), ("169.254.169.254", "metadata"), ("172.32.0.1", "public"), ("255.255.255.255", "reserved")]
+    ips = [("::ffff:127.0.0.1", "loopback"), ("1.2.3", "invalid"), ("1.2.3.256", "invalid"), ("::1", "loopback"), ("::", "unspecified"), ("0:0:0:0:0:0:0:1", "loopback"), ("2606:4700::1111", "public"), ("fe80::1", "link_local"), ("zz::1", "invalid"), (None, "invalid"), ("", "invalid"), ("169.254.169.254", "metadata"), ("172.32.0.1", "public"), ("255.255.255.255", "reserved")]
     rows = spark.createDataFrame(ips, "ip string, want string").select("want", C.address_kind(F.col("ip")).alias("kind")).collect()
     assert all(r.want == r.kind for r in rows)
 
@@ -61,3 +61,32 @@ def test_nulls(spark):
 def test_longest_sentence_takes_the_first_of_equals(spark):
     docs = spark.createDataFrame([(1, "One two. Three four! | five"), (2, "# head\n> quote\n| a | b c d e f |"), (3, "")], "id int, body string")
     assert sorted(map(tuple, R.longest_sentence(docs).collect())) == [(1, 0, 2), (2, 0, 0), (3, 0, 0)]
+
+
+def test_invalid_search_term_is_named():
+    from tarnbeck.operators.retrieval import compiled
+
+    assert compiled(["a.b", "^x$"]) == ["a.b", "^x$"]
+    with pytest.raises(ValueError, match="invalid term"):
+        compiled(["fine", "(open"])
+
+
+def test_query_terms(spark):
+    from pyspark.sql import functions as F
+
+    from tarnbeck.functions import text as T
+    from tarnbeck.plans.corpus import STOP
+
+    rows = [("Is R&D up vs FY25?",), ("Margin margin MARGIN",), ("What is it about?",), ("The next-generation one",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "q string").select(T.query_terms(F.col("q"), STOP)).collect()]
+    assert got == [["r&d", "fy25"], ["margin"], [], ["next-generation", "one"]]
+
+
+def test_credential_names_at_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    from tarnbeck.operators.gates import credential_names
+
+    rows = [('{"a": [{"b": {"ApiKey": ""}}], "x": ["token", "v"]}',), ('{"monkey": 1, "key": "token"}',), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "j string").select(credential_names(F.col("j"))).collect()]
+    assert got == [["ApiKey", "token"], [], []]
