@@ -64,12 +64,16 @@ def once(value: Column) -> Column:
 
 
 def rarity(rows: DataFrame) -> Column:
-    """The rarity class of each counter, shifted to its place in a key: the logarithm of how many words it has counted."""
+    """The rarity class of each counter: the logarithm of how many words it has counted. One text of a few hundred
+    kilobytes comes to the driver and goes into the plan, whatever the corpus."""
     words = rows.select(F.explode_outer(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # BUCKETS rows
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    levels = counts.select(F.concat_ws(" ", "k", F.least(F.lit(31), F.length(F.bin("n")))).alias("x"))
     level = [0] * BUCKETS
-    for r in counts:
-        level[r["k"]] = min(31, r["n"].bit_length()) << LOW
+    for pair in (levels.agg(F.array_join(F.collect_list("x"), ",")).first()[0] or "").split(","):  # BUCKETS pairs
+        if pair:
+            k, n = pair.split(" ")
+            level[int(k)] = int(n)
     return F.split(F.lit(",".join(map(str, level))), ",").cast("array<bigint>")
 
 
@@ -98,7 +102,7 @@ def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
 def line_sets(rows: DataFrame, level: Column, least: int, share: tuple[int, int]) -> DataFrame:
     """rid, doc_id, pos, n, d1, d2 (digest), odd (parities) and head (rarest words) of every line of `least` words or more."""
     # A word is its rarity class, then the low bits of its hash: sorting puts rare words first.
-    key = lambda h: F.coalesce(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW) - 1)))
+    key = lambda h: F.shiftleft(F.coalesce(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)), LOW).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW) - 1)))
     blank = key(F.xxhash64(F.lit("")))
     lines = rows.select("rid", "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     words = F.array_remove(F.array_distinct(F.sort_array(F.transform(word_hashes(F.col("line")), key))), blank)
