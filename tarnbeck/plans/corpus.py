@@ -65,7 +65,7 @@ def query_terms(t: Tables):
 
 
 _RANKED = f"""WITH {CORPUS}, a AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, trim(unnest(regexp_extract_all(lower(text), '{T.QUERY_TOKEN}')), '.-/&') AS term FROM benchmark) WHERE length(term) >= 3 AND NOT list_contains({_STOP}, term)),
-  h AS (SELECT DISTINCT id, as_of, unnest(regexp_split_to_array(lower(body), '\s+')) AS word FROM corpus),
+  h AS (SELECT DISTINCT id, as_of, unnest(regexp_split_to_array(lower(body), '\\s+')) AS word FROM corpus),
   vocabulary AS (SELECT DISTINCT word FROM h), terms AS (SELECT DISTINCT term FROM a),
   found AS (SELECT term, word FROM terms, vocabulary WHERE CASE WHEN contains(term, '.') THEN regexp_matches(word, term) ELSE contains(word, term) END),
   held AS (SELECT DISTINCT id, as_of, term FROM h JOIN found USING (word)),
