@@ -9,8 +9,8 @@ least `share`.
    rarest is among them (those that the fewest items have). Documents and items that share one are looked at; a
    shingle that all items have brings none together.
 2. Windows with at least ceil(share * size) places that hold a shingle of the item get 64-bit SimHash fingerprints: a
-   shingle votes on every bit. Votes are summed along the document once (32-bit counters, two in a long), and a window
-   is the difference of two sums, so a long item costs no more than its document.
+   shingle votes on every bit. Votes are summed along the places that such windows hold once (32-bit counters, two in
+   a long), and a window is the difference of two sums, so a long item costs no more than its document.
 3. Multi-index: fingerprints within `radius` of each other agree in one of radius + 1 blocks of bits, so joining the
    blocks of windows and items by item, block and value finds all of them; the Hamming distance is then checked.
 4. Candidates are verified by exact weighted similarity. A place counts for the windows that hold it, but not those
@@ -105,6 +105,23 @@ def windows_at(hits: DataFrame, share: tuple[int, int]) -> DataFrame:
     return full.select(*key, "size", "count", F.explode(F.sequence("at", F.col("next") - 1)).alias("start"), "common")
 
 
+def vote_sums(places: DataFrame, windows: DataFrame) -> DataFrame:
+    """rid, at, v0 and so on: the votes before each start and end of a window, from the places inside windows alone.
+
+    Starts and ends are rows among the places, so that one order of a document gives what is open and what was summed.
+    Only hashes are shuffled; their counters are spread out after it, and the places go before the sums are written.
+    """
+    mark = lambda at, opens: F.struct(F.col(at).alias("at"), F.lit(opens).alias("opens"))
+    marks = windows.select("rid", F.explode(F.array(mark("start", 1), mark("end", -1))).alias("m")).groupBy("rid", "m.at").agg(F.sum("m.opens").alias("opens"))
+    marks = marks.select("rid", "at", F.lit(False).alias("place"), "opens", F.lit(None).cast("long").alias("h"))
+    points = places.select("rid", F.col("pos").cast("long").alias("at"), F.lit(True).alias("place"), F.lit(0).cast("long").alias("opens"), "h").union(marks)
+    along = Window.partitionBy("rid").orderBy("at", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = points.repartition("rid").withColumn("open", F.sum("opens").over(along)).where(~F.col("place") | (F.col("open") > 0))
+    counters = [F.coalesce(v, F.lit(0).cast("long")).alias(f"v{j}") for j, v in enumerate(votes(F.col("h")))]
+    sums = covered.select("rid", "at", "place", *counters).select("rid", "at", "place", *[F.sum(f"v{j}").over(along).alias(f"v{j}") for j in range(LONGS)])
+    return sums.where(~F.col("place")).drop("place")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE, radius: int = RADIUS) -> DataFrame:
     """rid (of numbered docs), doc_id, item_id, start (first best window's shingle), common, total (weighted
     shingles in both, in either) of every leaked item."""
@@ -124,16 +141,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE,
     places = scratch.keep(some.select("rid", F.size("shingles").cast("long").alias("count"), F.posexplode_outer("shingles").alias("pos", "h")), "places")
     own = of_item.join(items.select("item", "size"), "item")
     hits = places.join(pairs, "rid").join(F.broadcast(own) if few else own, ["item", "h"])
-    windows = scratch.keep(windows_at(hits, share), "windows")
-    # Sums of the votes before each place of the documents that have windows.
-    along = Window.partitionBy("rid").orderBy("pos")
-    voted = places.join(windows.select("rid").distinct(), "rid", "left_semi").select("rid", "pos", *[v.alias(f"v{j}") for j, v in enumerate(votes(F.col("h")))])
-    sums = scratch.keep(voted.select("rid", (F.col("pos") + 1).cast("long").alias("at"), *[F.sum(f"v{j}").over(along).alias(f"v{j}") for j in range(LONGS)]), "vote-sums")
+    found = scratch.keep(windows_at(hits, share), "windows")
+    windows = found.withColumn("n", F.least("size", "count")).withColumn("end", F.col("start") + F.col("n"))
+    sums = scratch.keep(vote_sums(places, windows), "vote-sums")
     begin = sums.select("rid", F.col("at").alias("start"), *[F.col(f"v{j}").alias(f"b{j}") for j in range(LONGS)])
-    end = sums.withColumnRenamed("at", "end")
-    ends = windows.withColumn("n", F.least("size", "count")).withColumn("end", F.col("start") + F.col("n"))
-    spans = ends.join(end, ["rid", "end"]).join(begin, ["rid", "start"], "left")
-    inside = [F.col(f"v{j}") - F.coalesce(F.col(f"b{j}"), F.lit(0)) for j in range(LONGS)]
+    spans = windows.join(sums.withColumnRenamed("at", "end"), ["rid", "end"]).join(begin, ["rid", "start"])
+    inside = [F.col(f"v{j}") - F.col(f"b{j}") for j in range(LONGS)]
     # Written, so that the long expression of a fingerprint isn't copied into each of its uses.
     prints = scratch.keep(spans.select("rid", "item", "start", "n", "size", "common", fingerprint(inside, F.col("n")).alias("fp")), "prints")
     item_sums = item_rows.groupBy("item").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"v{j}") for j, v in enumerate(votes(F.col("h")))])
@@ -145,7 +158,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = SHARE,
     true = near.where(F.col("common") * share[1] >= total * share[0]).select("rid", "item", "start", "common", total.alias("total"))
     # Of one document and item, windows differ in `total` by `common` alone: the most common is the most similar.
     best = scratch.keep(true.groupBy("rid", "item").agg(F.max(F.struct(F.col("common"), (-F.col("start")).alias("back"), F.col("total"))).alias("b")), "best")
-    scratch.drop(pairs, places, windows, sums, prints)
+    scratch.drop(pairs, places, found, sums, prints)
     named = best.join(items.select("item", "item_id"), "item").join(rows.select("rid", "doc_id"), "rid")
     return named.select("rid", "doc_id", "item_id", (-F.col("b.back")).cast("long").alias("start"), F.col("b.common").alias("common"), F.col("b.total").alias("total"))
 
