@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnbeck.plans import company, composites, corpus, gates, pages, reports, series, sources  # noqa: F401
+from tarnbeck.plans import company, composites, corpus, gates, pages, payloads, reports, series, sources  # noqa: F401
 from tarnbeck.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "G01_grep_ranking"
