@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tarnbeck.plans.base import Tables, query
 from tarnbeck.plans.reports import plain, rows
@@ -98,3 +99,56 @@ _NEWS = """SELECT page_id AS ticker, CASE page_id % 3 WHEN 0 THEN '[]' WHEN 1 TH
     FROM ({plain(_NEWS)}) WHERE json_array_length(payload) > 0""")
 def articles(t: Tables):
     return R.articles(_answers(t, _NEWS))
+
+
+_STATEMENTS = """SELECT c_custkey AS ticker, CASE c_custkey % 3 WHEN 0 THEN '{"income_stmt": {}}' ELSE '{"income_stmt": {"2023-12-31": {"Total Revenue": ' || c_custkey || ', "Net Income": null}, "2022-12-31": {"Total Revenue": ' || (c_custkey - 1) || '}}, "info": {"x": 1}}' END AS payload FROM {customer}"""
+
+
+@query("A10_statement_items", f"""WITH k AS (SELECT ticker, payload, unnest(json_keys(payload, '$.income_stmt')) AS period FROM ({plain(_STATEMENTS)})),
+    i AS (SELECT ticker, period, json_extract(payload, '$.income_stmt."' || period || '"') AS v FROM k), n AS (SELECT *, unnest(json_keys(v)) AS item FROM i)
+    SELECT ticker, period, item, cast(json_extract_string(v, '$."' || item || '"') AS DOUBLE) AS value FROM n""")
+def statement_items(t: Tables):
+    return R.statement_items(_answers(t, _STATEMENTS), "income_stmt")
+
+
+_RATIOS = """SELECT p_partkey AS ticker, '{"highlights": {"market_cap": ' || (p_partkey * 10) || ', "total_debt": ' || CASE WHEN p_partkey % 9 = 0 THEN 'null' ELSE '' || p_size END || ', "total_cash": ' || (p_size * 2) || ', "revenue_ttm": ' || (p_partkey % 40) || ', "ebitda": ' || CASE WHEN p_partkey % 4 = 0 THEN 'null' ELSE '' || (p_size + 7) END || ', "enterprise_value": ' || (p_partkey * 10 + p_partkey % 50) || '}}' AS payload FROM {part}"""
+_HIGH = {f: _number("payload", f"$.highlights.{f}") for f in ("market_cap", "total_debt", "total_cash", "revenue_ttm", "ebitda", "enterprise_value")}
+
+
+@query("A10_computed_multiples", f"""WITH h AS (SELECT ticker, {', '.join(f'{v} AS {k}' for k, v in _HIGH.items())} FROM ({plain(_RATIOS)})), e AS (SELECT *, market_cap + total_debt - total_cash AS ev FROM h)
+    SELECT ticker, ev, round(ev / nullif(revenue_ttm, 0), 3) AS ev_to_revenue, round(ev / nullif(ebitda, 0), 3) AS ev_to_ebitda, coalesce(abs(nullif(enterprise_value, 0) / nullif(ev, 0) - 1) > 0.02, false) AS diverges FROM e WHERE ev IS NOT NULL""")
+def computed_multiples(t: Tables):
+    return R.computed_multiples(_answers(t, _RATIOS))
+
+
+@query("A19_newest_rows", """WITH r AS (SELECT o_custkey % 50 AS ticker, CASE WHEN o_custkey % 2 = 0 THEN 'short_interest' ELSE 'insider_trading' END AS dataset, CASE WHEN o_orderkey % 10 <> 3 THEN substr(cast(o_orderdate AS VARCHAR), 1, 10) END AS date, o_orderkey FROM orders)
+    SELECT * FROM (SELECT ticker, dataset, row_number() OVER (PARTITION BY ticker, dataset ORDER BY date DESC NULLS LAST, o_orderkey) AS n, date FROM r) WHERE n <= CASE dataset WHEN 'short_interest' THEN 26 ELSE 60 END""")
+def newest_rows(t: Tables):
+    answers = """SELECT k AS ticker, '{"data": {"' || s || '": [' || array_join(transform(array_sort(collect_list(struct(o_orderkey, a))), x -> x.a), ', ') || '], "other": [{"date": "2024-01-01"}]}}' AS payload
+        FROM (SELECT o_custkey % 50 AS k, CASE WHEN o_custkey % 2 = 0 THEN 'short_interest' ELSE 'insider_trading' END AS s, o_orderkey,
+            '{"shares": 5, "filing_date": ' || CASE WHEN o_orderkey % 10 <> 3 THEN '"' || substr(cast(o_orderdate AS STRING), 1, 10) || '"' ELSE 'null' END || '}' AS a FROM {orders}) GROUP BY k, s"""
+    return R.newest_rows(_answers(t, answers))
+
+
+_PEERS = """SELECT s_suppkey AS ticker, CASE s_suppkey % 4 WHEN 0 THEN '{"Error Message": "limit"}' WHEN 1 THEN '[]' ELSE '[{"symbol": "P' || s_nationkey || '", "price": 1.5}, {"companyName": "none"}, {"symbol": ""}]' END AS payload FROM {supplier}"""
+
+
+@query("A22_peer_symbols", f"SELECT ticker, cast(0 AS INTEGER) AS place, {_text('$[0].symbol')} AS symbol FROM ({plain(_PEERS)}) WHERE json_type(payload) = 'ARRAY' AND json_array_length(payload) > 0")
+def peer_symbols(t: Tables):
+    return R.peer_symbols(_answers(t, _PEERS))
+
+
+_FUNDS = """SELECT s_suppkey AS ticker, '[{"symbol": "F' || s_nationkey || '", "asset": "X", "weightPercentage": ' || CASE WHEN s_suppkey % 5 = 0 THEN 'null' ELSE s_suppkey || '.25' END || ', "marketValue": ' || (s_suppkey * 1000) || '}]' AS payload FROM {supplier}"""
+
+
+@query("A22_exposures", f"SELECT ticker, {_text('$[0].symbol')} AS fund, {_number('payload', '$[0].weightPercentage')} / 100 AS weight, {_number('payload', '$[0].marketValue')} AS market_value FROM ({plain(_FUNDS)})")
+def exposures(t: Tables):
+    return R.exposures(_answers(t, _FUNDS))
+
+
+_ERRORS = "SELECT event_id AS id, 'GET https://x.org/v?symbol=' || event_type || CASE event_id % 3 WHEN 0 THEN '&apikey=k' WHEN 1 THEN '&Token=\"t' ELSE '&monkey=b' END || event_id || '&page=2 failed' AS message FROM {events}"
+
+
+@query("A23_without_secrets", f"""SELECT id, regexp_replace(message, '{R.SECRETS.replace("'", "''")}', '\\1={R.REDACTED}', 'g') AS message FROM ({plain(_ERRORS)})""")
+def without_secrets(t: Tables):
+    return rows(t, _ERRORS).select("id", R.without_secrets(F.col("message")).alias("message"))
