@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnbeck.functions.shipping import ship
-from tarnbeck.llm import decontam, html_text, licenses, lines, near_dups, packing, pseudo_lm, quality, substrings, token_counts
+from tarnbeck.llm import clusters, conversations, decontam, html_text, licenses, lines, near_dups, packing, pseudo_lm, quality, records, substrings, token_counts
 from tarnbeck.llm.common import table
 
 
@@ -34,6 +34,14 @@ QUERIES = {
     "op8_lm_scoring": _of(lambda t: pseudo_lm.score(t("documents"))),
     "op9_quality_rules": _of(lambda t: quality.quality_rules(t("documents"), t("labels"))),
     "op10_line_dedup": _of(lambda t: lines.line_digest(t("documents"))),
+    "op11_centroid_clustering": _of(lambda t: clusters.cluster(t("embeddings"))),
+    "op12_conversation_repair": _of(lambda t: conversations.repair_digest(t("conversations"))),
+    "op13_binary_records": _of(lambda t: records.record_digest(t("documents"), tokenizer("word_bpe_49k.json"))),
 }
 #: Where SQL can express the result; the others are tested against brute force.
-ORACLE_SQL = {"op4_decontamination": decontam.ORACLE, "op10_line_dedup": lines.ORACLE}
+ORACLE_SQL = {
+    "op4_decontamination": decontam.ORACLE,
+    "op10_line_dedup": lines.ORACLE,
+    "op11_centroid_clustering": clusters.ORACLE,
+    "op12_conversation_repair": conversations.ORACLE,
+}
