@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import Scratch, numbered, slices
-from tarnbeck.llm.packing import WordTokens
+from tarnbeck.llm.word_ids import BlockTokens
 
 END_ID = 2
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
+#: Bytes of text that are encoded at a time.
+BLOCK_BYTES = 3_000_000
 MAGIC = b"TBREC1"
 _HEAD = len(MAGIC) + 1
 _FRAME = 16
@@ -47,7 +49,7 @@ MASK = 0xA282EAD8
 #: Shards whose sums one task adds up.
 GROUP = 4096
 
-_tokens: dict[str, WordTokens] = {}
+_tokens: dict[str, BlockTokens] = {}
 
 
 def masked(data: bytes) -> int:
@@ -108,14 +110,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
 
     def frames(batches):
         if tokenizer_path not in _tokens:
-            _tokens[tokenizer_path] = WordTokens(tokenizer_path)
+            _tokens[tokenizer_path] = BlockTokens(tokenizer_path)
         machine = _tokens[tokenizer_path]
         width = 2 if max(machine.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        head, end = MAGIC + bytes([width]), np.array([end_id], "<u4").tobytes()
+        head, end = MAGIC + bytes([width]), np.array([end_id], "<u4")
         parts, size = [head], len(head)
-        for b in slices(batches, 4_000_000):
-            for doc, ids in zip(b.column("doc_id").to_pylist(), machine.ids([t or "" for t in b.column("text").to_pylist()])):
-                own = frame(payload(doc, np.frombuffer(ids + end, "<u4"), width))
+        for b in slices(batches, BLOCK_BYTES):
+            ids, counts = machine.block([t or "" for t in b.column("text").to_pylist()])
+            cuts = np.cumsum(counts)
+            for doc, last, n in zip(b.column("doc_id").to_pylist(), cuts.tolist(), counts.tolist()):
+                own = frame(payload(doc, np.concatenate((ids[last - n : last], end)), width))
                 if len(parts) > 1 and size + len(own) > shard_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["shard"])
                     parts, size = [head], len(head)
