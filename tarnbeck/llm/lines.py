@@ -1,7 +1,8 @@
 """Removal of near-duplicate lines by an exact set-similarity join, in DataFrame functions alone.
 
 A line is the set of its words. A line is removed if an earlier line (by doc_id, row, place) has
-Jaccard similarity of at least `share` with it. Lines with fewer than `least` different words are never removed.
+Jaccard similarity of at least `share` with it. Lines with fewer than `least` different words are never removed;
+the digest has no such floor, so that lines without words alone are exempt.
 
 1. Word counts of the whole corpus, in BUCKETS counters, order each line's words by rarity.
 2. Lines with equal sets become one class by a partial aggregation; all but its first line go. Classes are numbered in
@@ -124,18 +125,23 @@ def numbered_classes(lines: DataFrame) -> DataFrame:
 
 
 def with_earliest(kinds: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """w, id, n, i, odd of every class and prefix word that has company; near: its classes; p_id and so on: the earliest of them."""
+    """w, id, n, i, odd of every class and prefix word that has (or, for a split word, may have) company; near: its classes, in
+    its part of a split word; p_id and so on: the earliest of them."""
     heads = kinds.where(F.col("head").isNotNull()).select("id", "n", "odd", F.posexplode(F.slice("head", 1, F.size("head") - 1)).alias("i", "w"))
     level = F.shiftrightunsigned("w", LOW).cast("int")
     part = F.when(level >= SPLIT, F.pmod(F.xxhash64("id"), F.call_function("shiftleft", F.lit(1).cast("long"), level - (SPLIT - 1)))).otherwise(0)
     group = Window.partitionBy("w", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = heads.withColumn("part", part).select("*", F.count(F.lit(1)).over(group).alias("near"), *[F.first(c).over(group).alias(f"p_{c}") for c in OWN])
-    return found.where("near > 1").withColumn("split", level >= SPLIT).drop("part")
+    # A class that is alone in its part of a split word may have company in the others: join_keys looks for it.
+    return found.withColumn("split", level >= SPLIT).where("near > 1 OR split").drop("part")
 
 
 def join_keys(company: DataFrame, kinds: DataFrame) -> DataFrame:
     """w, id, n, i, odd: what is left to join by words of three classes or more, hot words together with a second one."""
     left = company.where("split OR near > 2")
+    if not left.where("split").isEmpty():
+        shared = left.where("split").groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        left = left.where("NOT split").union(left.where("split").join(shared.select("w"), "w", "left_semi").select(*left.columns))
     hot = F.col("split") | (F.col("near") > HOT)
     if left.where(hot).isEmpty():
         return left.select("w", *OWN)
@@ -214,7 +220,7 @@ def drop_repeated_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least:
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
-def line_digest(docs: DataFrame, share: tuple[int, int] = SHARE, least: int = LEAST) -> DataFrame:
+def line_digest(docs: DataFrame, share: tuple[int, int] = SHARE, least: int = 1) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the remaining lines, joined) for every row."""
     out = _cut(docs, ["doc_id", "text"], share, least)
     n = F.when(F.col("_tb_gone").isNull(), F.lit(0)).otherwise(F.size("_tb_gone"))
@@ -226,7 +232,7 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 words AS (
   SELECT doc_id, pos, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))) AS ws FROM lines),
-kinds AS (SELECT ws, min((doc_id, pos)) AS first, len(ws) AS n, row_number() OVER () AS k FROM words WHERE len(ws) >= {LEAST} GROUP BY ws),
+kinds AS (SELECT ws, min((doc_id, pos)) AS first, len(ws) AS n, row_number() OVER () AS k FROM words WHERE len(ws) >= 1 GROUP BY ws),
 toks AS (SELECT k, n, unnest(ws) AS w FROM kinds),
 freq AS (SELECT w, count(*) AS f FROM toks GROUP BY w),
 heads AS (SELECT k, n, w FROM (SELECT k, n, w, row_number() OVER (PARTITION BY k ORDER BY f, w) AS i FROM toks JOIN freq USING (w)) WHERE i <= n - cast(ceil(n * {SHARE[0]} / {SHARE[1]}.0) AS BIGINT) + 1),
