@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as T
 from tarnbeck.operators import provenance as P
+from tarnbeck.operators.credentials import credential_names  # noqa: F401
 
 # Kinds of sources, names of tickers, limits of texts.
 SOURCE_KINDS = ("sec_filing", "wikipedia", "news", "perplexity_research", "transcript", "web_page", "press_release", "analyst_note", "other")
@@ -173,12 +174,3 @@ def dirty_sections(state: DataFrame, marks: DataFrame) -> DataFrame:
 def stale_ranking(rankings: DataFrame, candidates: DataFrame) -> DataFrame:
     """grp, usable of rankings (grp, ranked_at): not one from before its candidates (grp, changed_at) last changed."""
     return rankings.join(candidates, "grp", "left").select("grp", F.coalesce(F.col("ranked_at") >= F.col("changed_at"), F.col("ranked_at").isNotNull()).alias("usable"))
-
-
-def credential_names(request: Column) -> Column:
-    """Names in a JSON request that carry credentials: keys at any depth and the first of a pair, also with an empty
-    value; sorted, with repeats."""
-    names = "(?:apikey|api_key|token|access_token)"
-    keys = F.regexp_extract_all(request, F.lit(f'(?i)"({names})"\\s*:'), F.lit(1))
-    pairs = F.regexp_extract_all(request, F.lit(f'(?i)\\[\\s*"({names})"\\s*,\\s*(?:"[^"]*"|[^\\[\\]{{}},"]+)\\s*\\]'), F.lit(1))
-    return F.array_sort(F.concat(F.coalesce(keys, F.array().cast("array<string>")), F.coalesce(pairs, F.array().cast("array<string>"))))
