@@ -2,36 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as T
+from tarnbeck.operators.addresses import address_kind  # noqa: F401
 from tarnbeck.operators.findings import findings
 
 # Limits of the checks.
 MOST_AGENTS, MOST_TOKENS, MOST_MINUTES = 100, 6_000_000, 60
 FRESH_DAYS, RECALL_DROP = 30, 0.02
 CLAIM_WORDS, SUPPORT = 40, (3, 5)
-# Address blocks by kind, first match wins.
-BLOCKS = {
-    "metadata": ("169.254.169.254/32",),
-    "unspecified": ("0.0.0.0/32",),
-    "loopback": ("127.0.0.0/8",),
-    "link_local": ("169.254.0.0/16",),
-    "multicast": ("224.0.0.0/4",),
-    "reserved": ("240.0.0.0/4",),
-    "private": ("0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24"),
-}
-# The same for IPv6, by the first group of sixteen bits (first, last).
-WIDE_BLOCKS = {
-    "link_local": ((0xFE80, 0xFEBF),),
-    "multicast": ((0xFF00, 0xFFFF),),
-    "reserved": ((0x0000, 0x1FFF), (0x4000, 0xFBFF), (0xFE00, 0xFE7F)),
-    "private": ((0xFC00, 0xFDFF),),
-}
-WIDE_METADATA = "fd00:ec2::254"
 
 
 def verdict_problems() -> dict[str, Column]:
@@ -75,35 +56,6 @@ def fresh(fetched: Column, now: Column, days: int = FRESH_DAYS) -> Column:
     return F.coalesce(fetched >= now - F.make_dt_interval(F.lit(days)), F.lit(False))
 
 
-def ip_number(ip: Column) -> Column:
-    """A dotted IPv4 address as a number, also where IPv6 wraps it; null for others."""
-    plain = F.regexp_replace(F.lower(ip), "^::ffff:", "")
-    parts = F.transform(F.split(plain, r"\."), lambda p: F.when(p.rlike("^[0-9]{1,3}$"), p.cast("long")))
-    good = (F.size(parts) == 4) & F.forall(parts, lambda p: F.coalesce(p <= 255, F.lit(False)))
-    return F.when(good, F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
-
-
-def _inside(number: Column, block: str) -> Column:
-    base, bits = block.split("/")
-    size = 1 << (32 - int(bits))
-    low = reduce(lambda a, p: a * 256 + int(p), base.split("."), 0)
-    return number.between(low, low + size - 1)
-
-
-def address_kind(ip: Column) -> Column:
-    """Kind of an address, `public` outside the blocks, `invalid` for what is none."""
-    number, low = ip_number(ip), F.lower(ip)
-    first = F.conv(F.regexp_extract(low, "^([0-9a-f]*):", 1), 16, 10).cast("long")
-    wide = F.when(low == WIDE_METADATA, "metadata").when(low.rlike("^[0:]+$"), "unspecified").when(low.rlike("^[0:]*:0{0,3}1$"), "loopback")
-    for kind, spans in WIDE_BLOCKS.items():
-        wide = wide.when(reduce(lambda a, b: a | b, [F.coalesce(first, F.lit(0)).between(*s) for s in spans]), kind)
-    wide = wide.when(F.startswith(low, F.lit("2001:db8:")), "private").otherwise("public")
-    out = F.when(number.isNull() & low.rlike("^[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,7}$"), wide).when(number.isNull(), "invalid")
-    for kind, blocks in BLOCKS.items():
-        out = out.when(reduce(lambda a, b: a | b, [_inside(number, b) for b in blocks]), kind)
-    return out.otherwise("public")
-
-
 def amendment(form: Column) -> Column:
     return F.endswith(form, F.lit("/A"))
 
