@@ -9,7 +9,8 @@ from tarnbeck.operators import harvest as H
 from tarnbeck.operators import ledger as L
 from tarnbeck.operators import provenance as P
 from tarnbeck.operators import statements as S
-from tarnbeck.plans.base import NOW, Tables, query
+from tarnbeck.plans.base import NOW, ORACLE_SQL, Tables, query
+from tarnbeck.plans.gates import dirty_sections
 from tarnbeck.plans.reports import plain, rows
 
 _WANTED = "SELECT c_custkey AS id FROM {customer}"
@@ -62,6 +63,13 @@ def status(t: Tables):
     return event_staleness(t).where("stale").select("kind")
 
 
+@query("L01_status_report", f"WITH s AS ({ORACLE_SQL['L01_status']}), d AS ({ORACLE_SQL['J06_dirty_sections']}) SELECT 'stale kind' AS what, cast(kind AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS place FROM s UNION ALL SELECT 'dirty section', section, place FROM d")
+def status_report(t: Tables):
+    """What is to be done: stale kinds, then the report's dirty sections in their order."""
+    stale = event_staleness(t).where("stale").select(F.lit("stale kind").alias("what"), F.col("kind").cast("string").alias("name"), F.lit(None).cast("bigint").alias("place"))
+    return stale.union(dirty_sections(t).select(F.lit("dirty section"), "section", F.col("place").cast("bigint")))
+
+
 _SHOWN = "SELECT doc_id AS id, 'current' AS layer, text AS body FROM {documents} WHERE lang = 'en' UNION ALL SELECT doc_id, 'archived', text FROM {documents} WHERE source <> 'src7'"
 
 
