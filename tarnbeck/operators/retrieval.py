@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as T
+from tarnbeck.functions.shared import kept, spread
 
 
 def compiled(terms: list[str]) -> list[str]:
@@ -46,15 +47,20 @@ def manifest(docs: DataFrame) -> DataFrame:
     return docs.select("id", "kind", "as_of", F.octet_length("body").cast("long").alias("bytes"), T.one_line(F.col("body")).alias("summary"))
 
 
-def ranked_per_question(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """The k best documents of every question (qid, terms array) by terms that they hold, newest, id.
+#: Up to so many bytes of (word, term) pairs, the pairs are sent to the documents and not the documents' words to them.
+SENT = 32 << 20
+
+
+def matches_per_question(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """qid, n (its different terms), id, as_of, matched (those that the document holds) where there is one.
 
-    A term (three characters or more, no white space) is held if a word contains it, a dot in it standing for any
-    character. Terms meet the vocabulary in an equi-join on three characters of both, without a dot where there are
-    such, and then the documents on whole words: many questions at once need no nested loop.
+    questions have qid and an array of terms. A term (three characters or more, no white space) is held if a word
+    contains it, a dot in it standing for any character. Terms meet the vocabulary in an equi-join on three characters of
+    both, without a dot where there are such; the pairs found are written, so that their size is known, and meet the
+    documents' words (documents without an id are left out). One shuffle by document then serves for the different terms of it and for the counts.
     """
-    asked = questions.select("qid", F.explode("terms").alias("term"))
-    words = docs.select("id", "as_of", F.explode(F.array_distinct(F.split(F.lower("body"), r"\s+"))).alias("word"))
+    asked = questions.select("qid", F.size(F.array_distinct("terms")).cast("long").alias("n"), F.explode(F.array_distinct("terms")).alias("term"))
+    words = spread(docs.where("id is not null").select("id", "as_of", "body")).select("id", "as_of", F.explode(F.array_distinct(F.split(F.lower("body"), r"\s+"))).alias("word"))
     threes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))
     vocabulary = words.select("word").distinct()
     terms = asked.select("term").distinct()
@@ -64,11 +70,33 @@ def ranked_per_question(docs: DataFrame, questions: DataFrame, k: int) -> DataFr
     met = vocabulary.select("word", F.explode(F.array_distinct(threes(F.col("word")))).alias("k")).join(keyed.where("k is not null"), "k").select("term", "word")
     dotted = keyed.where("k is null").select("term", F.length("term").alias("n"))
     short = vocabulary.select("word", F.explode(F.sequence(F.lit(3), F.greatest(F.length("word"), F.lit(3)))).alias("n")).join(dotted, "n").select("term", "word")
-    found = met.union(short).where(F.expr("CASE WHEN contains(term, '.') THEN regexp_like(word, term) ELSE contains(word, term) END")).distinct()
-    held = words.join(found, "word").select("id", "as_of", "term").distinct()
-    counts = held.join(asked, "term").groupBy("qid", "id", "as_of").agg(F.count(F.lit(1)).alias("matched"))
+    holds = F.expr("CASE WHEN contains(term, '.') THEN regexp_like(word, term) ELSE contains(word, term) END")
+    # A pair is met once by its key; only the second way can repeat one.
+    found = kept(met.where(holds).union(short.where(holds).distinct()), "found-words")
+    size = found.agg(F.sum(F.octet_length("word") + F.octet_length("term") + 64)).first()[0] or 0
+    sent = F.broadcast(found) if size <= SENT else found
+    held = words.join(sent, "word").select("id", "as_of", "term").repartition("id").distinct()
+    return held.join(asked, "term").groupBy("qid", "n", "id", "as_of").agg(F.count(F.lit(1)).alias("matched"))
+
+
+def best_matches(matches: DataFrame, k: int) -> DataFrame:
+    """The k best documents of every question by terms that they hold, newest, id."""
     best = Window.partitionBy("qid").orderBy(F.desc("matched"), F.desc("as_of"), F.asc("id"))
-    return counts.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+    return matches.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+
+def ranked_per_question(docs: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    return best_matches(matches_per_question(docs, questions), k)
+
+
+def holders(matches: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """qid, id of the documents that hold the whole text of an item (qid, item): of those with all its terms, the exact test.
+
+    Terms of an item are runs of ASCII characters of it, so that a document with its text holds them all. Items without
+    terms aren't found here.
+    """
+    near = matches.where("matched = n").select("qid", "id").join(items, "qid")
+    return near.join(docs.select("id", "body"), "id").where(F.contains("body", "item")).select("qid", "id").distinct()
 
 
 def recall(ranked: DataFrame, gold: DataFrame) -> DataFrame:

@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnbeck.functions.shared import fresh_folder
 from tarnbeck.plans.base import Tables, query
 from tarnbeck.sources.evidence import front_matter, read_evidence, write_evidence
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines share; a local session without spark.checkpoint.dir gets a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all machines of the cluster share")
-        base = os.path.join(tempfile.gettempdir(), "tarnbeck-scratch")
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 _LINKS = r"https?://[A-Za-z0-9./_-]+"
 
 
