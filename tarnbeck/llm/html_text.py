@@ -4,7 +4,8 @@ A page becomes the list of its text blocks (runs of text between block-level tag
 them. The field scores each block's features and each change between neighbours; Viterbi finds the best labelling.
 It is trained here, by gradient ascent on the exact likelihood, on labelled pages that `labelled_pages` makes up.
 
-A null or empty page has an empty text; broken or cut markup closes where the page ends; repeated rows are extracted
+A null or empty page has an empty text; broken or cut markup closes where the page ends; form controls and hidden
+elements have no text; a page is read in time linear in its length; repeated rows are extracted
 each; pages of any length are read whole.
 """
 
@@ -26,11 +27,18 @@ from tarnbeck.llm.common import only, slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe object textarea".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
+#: Form controls and their captions: never text. Form itself is a feature, as some sites put whole pages in one.
+CONTROLS = frozenset("button select datalist optgroup option label legend output progress meter".split())
+_HIDDEN = re.compile(r"(?<![\w-])hidden(?=[\s/]|\Z|\s*=)|(?<![\w-])style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
+#: A class that begins so tells what a page has or lacks, not what the element is.
+STATES = frozenset("no not non without has with is".split())
 #: Tags and words in class, id or role that are features of the blocks below them.
 KEY_TAGS = tuple("article main section nav header footer aside form head title menu button select label figure figcaption table ul ol li p h1 h2 h3 h4 blockquote pre dialog".split())
 KEY_WORDS = tuple("ad ads advert advertisement sponsor promo banner cookie consent notice alert popup modal newsletter subscribe nav menu navbar breadcrumb sidebar side widget related recommended share social footer header masthead comment comments reply disqus discussion login search tags pagination copyright article content post entry story body text main".split())
 # A quote delimits a value only behind an equals sign; elsewhere it is a character like any other.
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: The same where a quote runs to the page's end: from there on tags end at the next bracket.
+_PLAIN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)([^>]*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[\s ]+")
@@ -41,16 +49,18 @@ _WORDS, _TAGS = frozenset(KEY_WORDS), frozenset(KEY_TAGS)
 def blocks(page: str) -> list[tuple[str, frozenset[str], float]]:
     """(text, features of the tags above, share of its characters in links) of every text block, in page order."""
     out: list[tuple[str, frozenset, float]] = []
-    stack: list[tuple[str, frozenset]] = []
+    # Of each open element: name, features of it and all above, and whether its text is left out.
+    stack: list[tuple[str, frozenset, bool]] = []
+    opened: dict[str, int] = {}
     parts: list[str] = []
+    token = _TOKEN
     linked = at = links = 0
 
     def close() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        if text:
-            above = frozenset().union(*[f for _, f in stack]) if stack else frozenset()
-            out.append((text, above, min(1.0, linked / len(text))))
+        if text and not (stack and stack[-1][2]):
+            out.append((text, stack[-1][1] if stack else frozenset(), min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
@@ -61,19 +71,28 @@ def blocks(page: str) -> list[tuple[str, frozenset[str], float]]:
             if links:
                 linked += len(raw.strip())
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     while at < len(page):
-        m = _TOKEN.search(page, at)
+        m = token.search(page, at)
+        if m and m[2] and not m[4] and token is _TOKEN:
+            token = _PLAIN
+            m = token.search(page, at)
         if m is None:
-            tail = page[at:]
-            add(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", tail))
+            add(page[at:])
             break
         add(page[at : m.start()])
+        if m[2] and not m[4]:  # a tag cut at the page's end
+            break
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if name in RAW and not m[1]:
-            end = re.compile(f"</{name}[^>]*>", re.I).search(page, at) if not m[3].endswith("/") else None
+            end = re.compile(f"</{name}[^>]*(?:>|\\Z)", re.I).search(page, at) if not m[3].endswith("/") else None
             at = end.end() if end else (len(page) if not m[3].endswith("/") else at)
             continue
         if name == "a":
@@ -84,18 +103,23 @@ def blocks(page: str) -> list[tuple[str, frozenset[str], float]]:
         if name in VOID or m[3].endswith("/"):
             continue
         if m[1]:
-            names = [n for n, _ in stack]
-            if name in names:
-                del stack[len(names) - 1 - names[::-1].index(name) :]
+            if opened.get(name):
+                while pop() != name:
+                    pass
         else:
             if name in _CLOSES or name not in ("html", "body", "head"):
                 gone = _CLOSES.get(name, {"p"})
                 while stack and stack[-1][0] in gone:
-                    stack.pop()
+                    pop()
             own = {f"t:{name}"} if name in _TAGS else set()
             for a in _NAMED.findall(m[3]):
-                own |= {f"w:{w}" for w in _PART.findall("".join(a).lower()) if w in _WORDS}
-            stack.append((name, frozenset(own)))
+                for one in "".join(a).lower().split():
+                    words = _PART.findall(one)
+                    if words and words[0] not in STATES:
+                        own |= {f"w:{w}" for w in words if w in _WORDS}
+            _, above, off = stack[-1] if stack else ("", frozenset(), False)
+            stack.append((name, above if own <= above else above | own, off or name in CONTROLS or bool(m[3] and _HIDDEN.search(m[3]))))
+            opened[name] = opened.get(name, 0) + 1
         links = 0 if m[1] and name != "a" else links
     close()
     return out
@@ -151,9 +175,23 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
         tag = rnd.choice(["div", "section", "div"])
         return f'<{tag} {rnd.choice(["class", "class", "id"])}="{kind}">{body}</{tag}>', y
 
+    def plain() -> tuple[str, list[int]]:
+        """A page of div elements alone: links as menus, prose as text."""
+        page, y = ["<html><body>"], []
+        for _ in range(rnd.randint(0, 3)):
+            page.append("<div>" + " ".join(f'<a href="/{i}">{words(1, 2)}</a>' for i in range(rnd.randint(1, 8))) + "</div>")
+            y.append(0)
+        for _ in range(rnd.randint(1, 8)):
+            page.append(f"<div>{words(12, 90).capitalize()}.</div>")
+            y.append(1)
+        return "".join(page) + "</body></html>", y
+
     bad = ["nav", "header", "footer", "aside", "form", "menu", *[w for w in KEY_WORDS if w not in ("article", "content", "post", "entry", "story", "body", "text", "main")]]
     out = []
     for _ in range(n):
+        if rnd.random() < 0.15:
+            out.append(plain())
+            continue
         page, y = [f"<html><head><title>{words(2, 8)}</title><style>p{{}}</style></head><body>"], [0]
         for _ in range(rnd.randint(0, 4)):
             h, l = junk(rnd.choice(bad))
