@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as T
-from tarnbeck.functions.shared import kept, spread
+from tarnbeck.functions.shared import spread
 
 
 def compiled(terms: list[str]) -> list[str]:
@@ -47,7 +47,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     return docs.select("id", "kind", "as_of", F.octet_length("body").cast("long").alias("bytes"), T.one_line(F.col("body")).alias("summary"))
 
 
-#: Up to so many bytes of (word, term) pairs, the pairs are sent to the documents and not the documents' words to them.
+#: Up to so many bytes of terms, the terms are sent to the documents and not the documents' words to them.
 SENT = 32 << 20
 
 
@@ -55,27 +55,30 @@ def matches_per_question(docs: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, n (its different terms), id, as_of, matched (those that the document holds) where there is one.
 
     questions have qid and an array of terms. A term (three characters or more, no white space) is held if a word
-    contains it, a dot in it standing for any character. Terms meet the vocabulary in an equi-join on three characters of
-    both, without a dot where there are such; the pairs found are written, so that their size is known, and meet the
-    documents' words (documents without an id are left out). One shuffle by document then serves for the different terms of it and for the counts.
+    contains it, a dot in it standing for any character. Terms meet words in an equi-join on three characters of
+    both, without a dot where there are such (documents without an id are left out). One shuffle by document then serves
+    for the different terms of it and for the counts.
     """
     asked = questions.select("qid", F.size(F.array_distinct("terms")).cast("long").alias("n"), F.explode(F.array_distinct("terms")).alias("term"))
     words = spread(docs.where("id is not null").select("id", "as_of", "body")).select("id", "as_of", F.explode(F.array_distinct(F.split(F.lower("body"), r"\s+"))).alias("word"))
     threes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substr(w, i, F.lit(3)))
-    vocabulary = words.select("word").distinct()
     terms = asked.select("term").distinct()
     # Terms whose runs between dots are all shorter than three characters are matched on every word; there are few.
     whole = F.get(F.filter(threes(F.col("term")), lambda x: ~F.contains(x, F.lit("."))), F.lit(0))
     keyed = terms.withColumn("k", whole)
-    met = vocabulary.select("word", F.explode(F.array_distinct(threes(F.col("word")))).alias("k")).join(keyed.where("k is not null"), "k").select("term", "word")
-    dotted = keyed.where("k is null").select("term", F.length("term").alias("n"))
-    short = vocabulary.select("word", F.explode(F.sequence(F.lit(3), F.greatest(F.length("word"), F.lit(3)))).alias("n")).join(dotted, "n").select("term", "word")
+    size, n_dotted = keyed.agg(F.sum(F.octet_length("term") + 64), F.count(F.when(F.col("k").isNull(), 1))).first()
+    sent = (size or 0) <= SENT
+    # Sent terms meet each document's words; else the vocabulary meets them first and the pairs meet the words.
+    looked, own = (words, ["id", "as_of"]) if sent else (words.select("word").distinct(), ["word"])
+    side = F.broadcast if sent else (lambda df: df)
     holds = F.expr("CASE WHEN contains(term, '.') THEN regexp_like(word, term) ELSE contains(word, term) END")
-    # A pair is met once by its key; only the second way can repeat one.
-    found = kept(met.where(holds).union(short.where(holds).distinct()), "found-words")
-    size = found.agg(F.sum(F.octet_length("word") + F.octet_length("term") + 64)).first()[0] or 0
-    sent = F.broadcast(found) if size <= SENT else found
-    held = words.join(sent, "word").select("id", "as_of", "term").repartition("id").distinct()
+    by_key = looked.select("*", F.explode(F.array_distinct(threes(F.col("word")))).alias("k"))
+    met = by_key.join(side(keyed.where("k is not null")), "k").where(holds).select(*own, "term")
+    if n_dotted:
+        dotted = keyed.where("k is null").select("term", F.length("term").alias("n"))
+        by_length = looked.select("*", F.explode(F.sequence(F.lit(3), F.greatest(F.length("word"), F.lit(3)))).alias("n"))
+        met = met.union(by_length.join(side(dotted), "n").where(holds).select(*own, "term"))
+    held = (met if sent else words.join(met.distinct(), "word")).select("id", "as_of", "term").repartition("id").distinct()
     return held.join(asked, "term").groupBy("qid", "n", "id", "as_of").agg(F.count(F.lit(1)).alias("matched"))
 
 
