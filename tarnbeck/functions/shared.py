@@ -1,4 +1,4 @@
-"""Tables and folders that outlive a lost executor, in the folder that all machines share."""
+"""New folders where all machines share them, and small inputs over all cores."""
 
 from __future__ import annotations
 
@@ -20,13 +20,6 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table."""
-    path = fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Inputs of fewer bytes for each core are dealt out before costly work.
 SMALL = 16 << 20
 
