@@ -10,12 +10,14 @@ the digest has no such floor, so that lines without words alone are exempt.
 3. Two classes at `share` have a common word among their rarest n - ceil(share * n) + 1 (prefix filter); set sizes
    (length filter), the place of that word (positional filter) and 64 parities of the words' hashes leave room for
    enough common words. Sets differ in at least as many words as their parities do, so none of these drops a match.
+   64 parities tell nothing of sets of 200 words; from LONG words on there are 256.
 4. Every class is first held against the earliest class that shares its prefix word: one pair for each prefix word at
    most. A group of near-equal lines is resolved by that, and a word of two classes is settled for good.
 5. A class that found no match so far is held against all others of its words by semi joins, which look for one
    earlier match and make no pairs. A word of more than HOT classes is joined with a second one: matches that have
    their first common word there share another one of their rarest n - ceil(share * n) + 2.
-6. Similarities are reckoned on full sets, once for the classes that have a partner by 3.
+6. Similarities are reckoned on full sets, for the pairs of 4 and then for the classes that 5 leaves and their partners.
+   A class's partners are looked for by all of 3 at once: the other classes of its words aren't listed.
 
 Null texts have one empty line; they and null ids keep their row. Repeated rows are documents of their own, the first
 of them being the earlier. Lines of any length are read whole. Extra columns are kept by `drop_repeated_lines` and fall
@@ -32,8 +34,8 @@ from tarnbeck.llm.common import Scratch, numbered
 SHARE, LEAST = (85, 100), 5
 #: Counters of the rarity order, a power of two: a fixed number, so that the table that every task holds doesn't grow.
 BUCKETS = 1 << 17
-#: What a join of classes needs of each: number, size, place of the word, parities.
-OWN = ("id", "n", "i", "odd")
+#: What a join of classes needs of each: number, size, place of the word, parities, more of them for long lines.
+OWN = ("id", "n", "i", "odd", "fine")
 #: Bits below a word's rarity class (5 bits) in its key: the low ones of its hash.
 LOW = 58
 #: Rarity class from which on a word's classes are split for the search of its earliest class: below, a word has fewer
@@ -41,8 +43,10 @@ LOW = 58
 SPLIT = 20
 #: Classes of a word from which on it is joined together with a second word.
 HOT = 1000
-#: Words that are broadcast at most (8 bytes each) to pick the classes that share one; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Words of a line from which on its parities are counted in 256 parts.
+LONG = 128
+#: Open classes' words that are broadcast at most (some 60 bytes each) to find their partners; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def spaced(text: Column) -> Column:
@@ -92,8 +96,11 @@ def may_match(share: tuple[int, int]) -> Column:
     sizes = F.least("a_n", "b_n") * share[1] >= F.greatest("a_n", "b_n") * share[0]
     # The first common word of a match has no common one before it: what follows bounds the rest.
     rest = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= need(share)
-    unlike = F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd"))) <= F.col("a_n") + F.col("b_n") - 2 * need(share)
-    return sizes & unlike & rest
+    differ = F.col("a_n") + F.col("b_n") - 2 * need(share)
+    odd = F.col("a_odd").bitwiseXOR(F.col("b_odd"))
+    parts = [F.get("a_fine", F.lit(k)).bitwiseXOR(F.get("b_fine", F.lit(k))) for k in range(3)]
+    fine = sum(map(F.bit_count, parts), F.bit_count(odd.bitwiseXOR(parts[0]).bitwiseXOR(parts[1]).bitwiseXOR(parts[2])))
+    return sizes & (F.bit_count(odd) <= differ) & rest & F.coalesce(fine <= differ, F.lit(True))
 
 
 def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -101,7 +108,8 @@ def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
 
 
 def line_sets(rows: DataFrame, level: Column, least: int, share: tuple[int, int]) -> DataFrame:
-    """rid, doc_id, pos, n, d1, d2 (digest), odd (parities) and head (rarest words) of every line of `least` words or more."""
+    """rid, doc_id, pos, n, d1, d2 (digest), odd (parities), fine (three of the four parts of `odd`, null for lines of
+    fewer than LONG words) and head (rarest words) of every line of `least` words or more."""
     # A word is its rarity class, then the low bits of its hash: sorting puts rare words first.
     key = lambda h: F.shiftleft(F.coalesce(F.get(level, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)), LOW).bitwiseOR(h.bitwiseAND(F.lit((1 << LOW) - 1)))
     blank = key(F.xxhash64(F.lit("")))
@@ -114,20 +122,22 @@ def line_sets(rows: DataFrame, level: Column, least: int, share: tuple[int, int]
     joins = n * share[1] >= (n + 1) * share[0]
     head = F.when(joins, F.slice("words", 1, prefix_size(n, share) + 1))
     odd = F.when(joins, F.aggregate("words", F.lit(0).cast("long"), parity))
-    return sets.select("rid", "doc_id", "pos", n.alias("n"), F.xxhash64("words").alias("d1"), F.xxhash64(F.lit(7), "words").alias("d2"), odd.alias("odd"), head.alias("head"))
+    part = lambda k: F.filter("words", lambda w: F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(3)) == k)
+    fine = F.when(joins & (n >= LONG), F.array(*[F.aggregate(part(k), F.lit(0).cast("long"), parity) for k in range(3)]))
+    return sets.select("rid", "doc_id", "pos", n.alias("n"), F.xxhash64("words").alias("d1"), F.xxhash64(F.lit(7), "words").alias("d2"), odd.alias("odd"), fine.alias("fine"), head.alias("head"))
 
 
 def numbered_classes(lines: DataFrame) -> DataFrame:
-    """id (in the order of `first`), d1, d2, first (place), copies, n, odd, head of every class of equal sets."""
+    """id (in the order of `first`), d1, d2, first (place), copies, n, odd, fine, head of every class of equal sets."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
-    kinds = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("head").alias("head"))
+    kinds = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("fine").alias("fine"), F.first("head").alias("head"))
     return kinds.repartitionByRange("first").sortWithinPartitions("first").withColumn("id", F.monotonically_increasing_id())
 
 
 def with_earliest(kinds: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """w, id, n, i, odd of every class and prefix word that has (or, for a split word, may have) company; near: its classes, in
+    """w, id, n, i, odd, fine of every class and prefix word that has (or, for a split word, may have) company; near: its classes, in
     its part of a split word; p_id and so on: the earliest of them."""
-    heads = kinds.where(F.col("head").isNotNull()).select("id", "n", "odd", F.posexplode(F.slice("head", 1, F.size("head") - 1)).alias("i", "w"))
+    heads = kinds.where(F.col("head").isNotNull()).select("id", "n", "odd", "fine", F.posexplode(F.slice("head", 1, F.size("head") - 1)).alias("i", "w"))
     level = F.shiftrightunsigned("w", LOW).cast("int")
     part = F.when(level >= SPLIT, F.pmod(F.xxhash64("id"), F.call_function("shiftleft", F.lit(1).cast("long"), level - (SPLIT - 1)))).otherwise(0)
     group = Window.partitionBy("w", "part").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -137,7 +147,7 @@ def with_earliest(kinds: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 
 def join_keys(company: DataFrame, kinds: DataFrame) -> DataFrame:
-    """w, id, n, i, odd: what is left to join by words of three classes or more, hot words together with a second one."""
+    """w, id, n, i, odd, fine: what is left to join by words of three classes or more, hot words together with a second one."""
     left = company.where("split OR near > 2")
     if not left.where("split").isEmpty():
         shared = left.where("split").groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -146,7 +156,7 @@ def join_keys(company: DataFrame, kinds: DataFrame) -> DataFrame:
     if left.where(hot).isEmpty():
         return left.select("w", *OWN)
     pairs = left.where(hot).join(kinds.select("id", "head"), "id")
-    second = pairs.select("id", "n", "i", "odd", "w", F.explode(F.slice("head", F.col("i") + 2, F.size("head"))).alias("w2"))
+    second = pairs.select(*OWN, "w", F.explode(F.slice("head", F.col("i") + 2, F.size("head"))).alias("w2"))
     return left.where(~hot).select("w", *OWN).union(second.select(F.xxhash64("w", "w2").alias("w"), *OWN))
 
 
@@ -177,25 +187,27 @@ def removed_lines(docs: DataFrame, share: tuple[int, int] = SHARE, least: int =
     # Pairs with the earliest class of a word.
     earliest = company.select("w", *[F.col(f"p_{c}").alias(f"a_{c}") for c in OWN], *[F.col(c).alias(f"b_{c}") for c in OWN])
     pairs = scratch.keep(earliest.where((F.col("a_id") < F.col("b_id")) & may_match(share)).select("a_id", "b_id").distinct(), "pivot-pairs")
-    # Classes with another partner.
+    halves = lambda sets: [sets.select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words")) for s in "ab"]
+    sets = scratch.keep(full_sets(rows, kinds, pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).distinct()), "pair-sets")
+    x, y = halves(sets)
+    resolved = scratch.keep(pairs.join(x, "a_id").join(y, "b_id").where(is_match(share)).select(F.col("b_id").alias("id")).distinct(), "resolved")
+    scratch.drop(pairs, sets)
+    # Classes without a match so far that have another partner, and then these partners.
     keys = join_keys(company, kinds)
     a, b = (side(keys, s, *OWN) for s in "ab")
     partner = (F.col("a_id") < F.col("b_id")) & may_match(share)
     later = scratch.keep(b.join(a, (b["w"] == a["w"]) & partner, "left_semi"), "later-keys")
-    met = later.select("w").distinct()
-    some = a.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "w", "left_semi")
-    earlier = scratch.keep(some.join(later, (some["w"] == later["w"]) & partner, "left_semi"), "earlier-keys")
-    scratch.drop(company)
-    wanted = pairs.select(F.col("a_id").alias("id")).union(pairs.select("b_id")).union(later.select("b_id")).union(earlier.select("a_id")).distinct()
-    sets = scratch.keep(full_sets(rows, kinds, wanted), "line-sets")
-    x, y = (sets.select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words")) for s in "ab")
-    resolved = scratch.keep(pairs.join(x, "a_id").join(y, "b_id").where(is_match(share)).select(F.col("b_id").alias("id")).distinct(), "resolved")
-    open_ = later.join(resolved, later["b_id"] == resolved["id"], "left_anti").join(y, "b_id").select("w", "b_id", "b_n", "b_i", "b_odd", "b_words")
-    some = earlier.join(open_.select("w").distinct(), "w", "left_semi").join(x, "a_id").select("w", "a_id", "a_n", "a_i", "a_odd", "a_words")
-    found = open_.join(some, (open_["w"] == some["w"]) & partner & is_match(share), "left_semi").select(F.col("b_id").alias("id"))
+    open_ = scratch.keep(later.join(resolved, later["b_id"] == resolved["id"], "left_anti"), "open-keys")
+    few = F.broadcast(open_) if open_.count() <= BROADCAST_ROWS else open_
+    earlier = scratch.keep(a.join(few, (a["w"] == few["w"]) & partner, "left_semi"), "earlier-keys")
+    scratch.drop(company, later)
+    sets = scratch.keep(full_sets(rows, kinds, open_.select(F.col("b_id").alias("id")).union(earlier.select("a_id")).distinct()), "line-sets")
+    x, y = halves(sets)
+    b, a = open_.join(y, "b_id").select("w", *[f"b_{c}" for c in OWN], "b_words"), earlier.join(x, "a_id").select("w", *[f"a_{c}" for c in OWN], "a_words")
+    found = b.join(a, (b["w"] == a["w"]) & partner & is_match(share), "left_semi").select(F.col("b_id").alias("id"))
     gone = kinds.join(resolved.union(found).distinct(), "id", "left_semi").select("first.rid", "first.pos")
     out = scratch.keep(gone.union(copies).groupBy("rid").agg(F.collect_list("pos").alias("gone")), "gone")
-    scratch.drop(copies, kinds, pairs, later, earlier, sets, resolved)
+    scratch.drop(copies, kinds, open_, earlier, sets, resolved)
     return out
 
 

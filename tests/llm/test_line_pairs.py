@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnbeck.llm import lines
 
@@ -57,3 +58,38 @@ def test_no_pair_is_lost(spark, monkeypatch, cases, split, hot):
         df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).selectExpr("*", "1 AS w", "2 AS near", "3 AS part")
         assert sum(e[2] for e in expected) > 60
         assert sorted(map(tuple, lines.line_digest(df).collect()), key=repr) == expected
+
+
+def long_lines(seed, n=60):
+    """Lines of 100 to 400 words, half of them copies with a few per cent of the words changed; all have a rare word of a few."""
+    rnd = random.Random(seed)
+    out = []
+    for k in range(n):
+        if k % 2:
+            words = list(out[rnd.randrange(len(out))])
+            for _ in range(rnd.randrange(int(0.12 * len(words)))):
+                words[rnd.randrange(len(words))] = f"y{rnd.randint(0, 10**9)}"
+        else:
+            words = [f"v{rnd.randint(0, 3000)}" for _ in range(rnd.choice((100, 127, 128, 200, 300, 400)))]
+        out.append([*words, f"rare{rnd.randint(0, 2)}"])
+    return [(k, " ".join(words)) for k, words in enumerate(out)]
+
+
+@pytest.mark.parametrize("rows_sent", [0, 200_000])
+def test_long_lines_equal_all_pairs(spark, monkeypatch, rows_sent):
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", rows_sent)
+    rows = long_lines(5)
+    got = sorted(map(tuple, lines.line_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == all_pairs(rows)
+    assert 10 < sum(x[2] for x in got) < 30
+
+
+def test_unlike_long_lines_are_no_partners(spark):
+    rnd = random.Random(3)
+    rows = [(k, k, " ".join([*(f"z{rnd.randint(0, 10**6)}" for _ in range(240)), "met"])) for k in range(60)]
+    df = spark.createDataFrame(rows, "rid long, doc_id long, text string")
+    kinds = lines.numbered_classes(lines.line_sets(df, F.array(F.lit(0).cast("long")), 1, lines.SHARE))
+    a, b = (kinds.select(F.lit(0).alias("i"), *[c for c in lines.OWN if c != "i"]).select(*[F.col(c).alias(f"{s}_{c}") for c in lines.OWN]) for s in "ab")
+    both = a.crossJoin(b).where("a_id < b_id")
+    assert both.count() == 60 * 59 // 2
+    assert both.where(lines.may_match(lines.SHARE)).count() == 0
