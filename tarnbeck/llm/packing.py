@@ -12,7 +12,6 @@ Null texts count as empty: a document of its end token alone. Repeated rows are
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict
 
@@ -22,62 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.llm.common import Scratch, only, partitions, slices
+from tarnbeck.llm.word_ids import BlockTokens
 
 END_ID = 1
-MEMO_WORDS = 1_800_000
-#: A lone full stop or comma behind a letter and before white space, which is a part of its own for the tokenizer.
-_MARK = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=[ \n]|\Z)")
-
-
-class WordTokens:
-    """Ids of whole texts, from the tokenizer's ids of their parts between spaces and line ends.
-
-    Its pre-tokenizer drops white space and never joins across it, so a text's ids are those of its parts in order.
-    """
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {"": b""}
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-
-    @staticmethod
-    def lowered(text: str) -> str:
-        """As the tokenizer's normalizer lower-cases it; texts where that could differ stay."""
-        return text if "<|" in text or "\u03a3" in text or "\u0130" in text else text.lower()
-
-    def learn(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            word = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
-            if len(word) and (word[1:] < word[:-1]).any() or (word < 0).any():  # special strings: one by one
-                for p in some:
-                    self.memo[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            cuts, raw = np.searchsorted(word, np.arange(len(some) + 1)) * 4, ids.tobytes()
-            for p, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()):
-                self.memo[p] = raw[a:b]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [_MARK.sub(r" \1", self.lowered(t)).replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*split)
-        new = every - self.memo.keys()
-        if new and len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo = {"": b""}
-            new = every - self.memo.keys()
-        self.learn(list(new))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
-
-
-_tokens: dict[str, WordTokens] = {}
+#: Bytes of text that are encoded at a time.
+BLOCK_BYTES = 4_000_000
+_tokens: dict[str, BlockTokens] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
@@ -85,15 +34,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
 
     def cut(batches):
         if tokenizer_path not in _tokens:
-            _tokens[tokenizer_path] = WordTokens(tokenizer_path)
-        machine, end = _tokens[tokenizer_path], np.array([END_ID], "<u4").tobytes()
-        for b in slices(batches, 4_000_000):
+            _tokens[tokenizer_path] = BlockTokens(tokenizer_path)
+        machine = _tokens[tokenizer_path]
+        for b in slices(batches, BLOCK_BYTES):
             rows = defaultdict(list)
-            for doc, ids in zip(b.column("doc_id").to_pylist(), machine.ids([t or "" for t in b.column("text").to_pylist()])):
-                ids += end
-                for k in range(-(-len(ids) // (4 * capacity))):
-                    part = ids[k * 4 * capacity : (k + 1) * 4 * capacity]
-                    for name, value in (("doc_id", doc), ("piece", k), ("start", k * capacity), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part))):
+            ids, counts = machine.block([t or "" for t in b.column("text").to_pylist()])
+            ids = np.insert(ids, np.cumsum(counts), END_ID).astype("<u4", copy=False)
+            ends = np.cumsum(counts + 1).tolist()
+            for doc, first, last in zip(b.column("doc_id").to_pylist(), [0, *ends], ends):
+                for k, at in enumerate(range(first, last, capacity)):
+                    part = ids[at : min(at + capacity, last)]
+                    for name, value in (("doc_id", doc), ("piece", k), ("start", at - first), ("length", len(part)), ("ids_crc32", zlib.crc32(part))):
                         rows[name].append(value)
             yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
 

@@ -1,31 +1,87 @@
 """Token ids of blocks of texts in columns: split, count and look up words with Arrow, gather their ids with NumPy.
 
-As in `packing.WordTokens`, a text's ids are those of its parts between spaces and line ends, in order. Each different
-part of a block is looked up once; parts that were never seen are encoded together. What is remembered is bounded.
+A text's ids are those of its parts between spaces and line ends, in order. Each different part of a block is looked up
+once. Of parts that were never seen, those of plain characters go straight to the tokenizer's model, as neither its
+normalizer nor its pre-tokenizer changes their words; all others are encoded by the whole tokenizer. What is remembered is
+bounded.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tarnbeck.llm.packing import WordTokens
-
 #: Parts that a worker remembers before it starts anew.
 MEMO_PARTS = 1_000_000
 #: A lone full stop or comma behind a letter and before white space: a part of its own for the tokenizer.
 _MARK = r"([a-zß-öø-ÿ])([.,])([ \n]|\z)"
-#: Ends the token that ends a word in this kind of vocabulary.
-_WORD_END = "</w>"
+#: Normalizer and pre-tokenizer that PLAIN and WORD hold for.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Parts that normalizing leaves as they are: ASCII but capitals, and small letters of Latin-1.
+PLAIN = re.compile("[!-@\\[-~ß-öø-ÿ]+")
+#: The words of a plain part, as the pre-tokenizer cuts them.
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The model's letters of the bytes of plain words.
+_shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _shown)}
+
+
+class WordTokens:
+    """Ids of parts of texts between spaces and line ends.
+
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its parts in order.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+
+    @staticmethod
+    def lowered(text: str) -> str:
+        """As the tokenizer's normalizer lower-cases it; texts where that could differ stay."""
+        return text if "<|" in text or "\u03a3" in text or "\u0130" in text else text.lower()
+
+    def learn(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            word = np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+            if len(word) and (word[1:] < word[:-1]).any() or (word < 0).any():  # special strings: one by one
+                for p in some:
+                    self.memo[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            cuts, raw = np.searchsorted(word, np.arange(len(some) + 1)) * 4, ids.tobytes()
+            for p, a, b in zip(some, cuts[:-1].tolist(), cuts[1:].tolist()):
+                self.memo[p] = raw[a:b]
 
 
 class BlockTokens(WordTokens):
     def __init__(self, path: str):
         super().__init__(path)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(_WORD_END)
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        special = [t["content"] for t in made["added_tokens"]]
+        self.plain = all(made[k] == v for k, v in STEPS.items()) and all(t.startswith("<|") for t in special)
+        self.model, self.short = self.tokenizer.model, {"": []}
         self.forget()
 
     def forget(self) -> None:
@@ -51,16 +107,22 @@ class BlockTokens(WordTokens):
         self.used += len(ids)
         self.place.update(zip(parts, range(n, n + len(parts))))
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Parts of letters alone: one word each, which the end marks of their tokens tell apart."""
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(some) and len(ids) and last[-1] == len(ids) - 1:
-                self._add(some, ids, np.diff(last, prepend=-1))
-            else:
-                self._learn_parts(some)
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word of a plain part."""
+        if len(word) > 2:
+            return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTES))]
+        if word not in self.short:  # some thousands
+            self.short[word] = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTES))]
+        return self.short[word]
+
+    def _learn_plain(self, parts: list[str]) -> None:
+        ids, counts = [], []
+        for p in parts:
+            n = len(ids)
+            for word in (p,) if p.isalpha() else WORD.findall(p):
+                ids += self._word(word)
+            counts.append(len(ids) - n)
+        self._add(parts, np.array(ids, np.uint32), np.array(counts, np.int64))
 
     def _learn_parts(self, parts: list[str]) -> None:
         self.memo = {}
@@ -74,13 +136,14 @@ class BlockTokens(WordTokens):
         own = pc.replace_substring_regex(pa.array([self.lowered(t) for t in texts], pa.large_string()), _MARK, r"\1 \2\3")
         split = pc.split_pattern(pc.replace_substring(own, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in names if w not in self.place]
         if new and len(self.place) + len(new) > MEMO_PARTS:
             self.forget()
             new = [w for w in names if w]
-        self._learn_words([w for w in new if w.isalpha()])
-        self._learn_parts([w for w in new if not w.isalpha()])
+        plain = [self.plain and PLAIN.fullmatch(w) is not None and "<|" not in w for w in new]
+        self._learn_plain([w for w, x in zip(new, plain) if x])
+        self._learn_parts([w for w, x in zip(new, plain) if not x])
         at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
         n = self.length[at]
         before = np.cumsum(n) - n

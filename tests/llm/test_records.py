@@ -121,3 +121,23 @@ def test_a_broken_shard_ends_the_job(spark, folder, tmp_path):
     os.remove(os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc"))
     with pytest.raises(Exception, match="shard .*, offset"):
         R.read_records(spark, copy).collect()
+
+
+def test_words_are_encoded_as_by_the_whole_tokenizer():
+    """Also that the plain ones, words with punctuation and digits among them, don't go through it one by one."""
+    from tokenizers import Tokenizer
+
+    from tarnbeck.llm.word_ids import BlockTokens
+
+    path = tokenizer("word_bpe_49k.json")
+    rnd, tk, machine = random.Random(11), Tokenizer.from_file(path), BlockTokens(path)
+    pools = ["abcdefgeeettth", "abc'stremlvd.,!&*\"<|>", "éèßöøÿñíã÷×ªµ'e", "0123456789-().", "ABCaé́İΣςﬁ北京½²٣", "a'l \n\t  .,"]
+    texts = ["".join(rnd.choice(rnd.choice(pools) if rnd.random() < 0.05 else pool) for _ in range(rnd.randint(0, 30))) for pool in pools for _ in range(1500)]
+    texts += [" ".join(rnd.sample(texts, 20)) for _ in range(50)] + ["<|endoftext|>", "x<|startoftext|>y", "'s 't're can't we'll !!'s", "", " "]
+    ids, counts = machine.block(texts)
+    ends = counts.cumsum()
+    for text, n, end in zip(texts, counts.tolist(), ends.tolist()):
+        assert ids[end - n : end].tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
+    slow, machine._learn_parts = [], lambda parts: slow.extend(parts)
+    machine.block(["den555-7240 enelleeux*** (262) thshble!! añoñasí'll password=b13d"])
+    assert slow == []
