@@ -212,8 +212,10 @@ def classes(docs: DataFrame, share: tuple[int, int] = SHARE) -> DataFrame:
         for d in done:
             pairs = pairs.join(d.select("a", "b"), ["a", "b"], "left_anti")
         done.append(check(pairs))
-        links = links.union(done[-1].where("linked").select("a", "b"))
-        root = roots()
+        new = done[-1].where("linked").select("a", "b")
+        if not new.isEmpty():  # else the components are as before
+            links = links.union(new)
+            root = roots()
         scratch.drop(at)
     scratch.drop(texts, packed, members)
     of = sketch.select("rid", "doc_id", "n_shingles", "s1", "s2")

@@ -30,3 +30,26 @@ def test_lines_stage_removes_short_repeats(spark):
     docs = spark.createDataFrame([(1, "Read more\n\nHome\nfour short words here"), (2, "Read more\n\nbody\nmore Read\nHome\nfour short words there")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in P.lines_stage(spark, docs, "").collect()}
     assert got == {1: "Read more\n\nHome\nfour short words here", 2: "\nbody\nfour short words there"}
+
+
+def test_written_tables_let_the_driver_collect_its_garbage(spark):
+    from tarnbeck.llm import common
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before, scratch = full(), common.Scratch(spark)
+    for _ in range(2 * common.COLLECT):
+        scratch.keep(spark.range(3), "t")
+    assert full() - before >= 2
+
+
+def test_components_are_reckoned_anew_for_new_links_alone(spark, monkeypatch):
+    from tarnbeck.llm import near_dups
+
+    calls, real = [], near_dups.components
+    monkeypatch.setattr(near_dups, "components", lambda *a: calls.append(1) or real(*a))
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (3, " ".join(f"v{i}" for i in range(60)))]
+    out = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (2, 1), (3, 3)]
+    assert len(calls) == 1
