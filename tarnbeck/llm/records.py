@@ -37,7 +37,7 @@ from tarnbeck.llm.word_ids import BlockTokens
 END_ID = 2
 SHARD_BYTES = 4_000_000
 #: Bytes of text that are encoded at a time.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 1_000_000
 MAGIC = b"TBREC1"
 _HEAD = len(MAGIC) + 1
 _FRAME = 16

@@ -11,13 +11,15 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts that a worker remembers before it starts anew.
-MEMO_PARTS = 1_000_000
+#: Parts that a worker remembers (some 400 bytes each) before it drops all but the KEPT_PARTS that it met first: those
+#: of most use, as frequent parts are met early.
+MEMO_PARTS, KEPT_PARTS = 500_000, 200_000
 #: A lone full stop or comma behind a letter and before white space: a part of its own for the tokenizer.
 _MARK = r"([a-zß-öø-ÿ])([.,])([ \n]|\z)"
 #: Normalizer and pre-tokenizer that PLAIN and WORD hold for.
@@ -82,13 +84,24 @@ class BlockTokens(WordTokens):
         special = [t["content"] for t in made["added_tokens"]]
         self.plain = all(made[k] == v for k, v in STEPS.items()) and all(t.startswith("<|") for t in special)
         self.model, self.short = self.tokenizer.model, {"": []}
-        self.forget()
-
-    def forget(self) -> None:
         self.place: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def forget(self) -> None:
+        """All but the first KEPT_PARTS parts, which stay at their places."""
+        n = min(KEPT_PARTS, len(self.place))
+        self.place = dict(islice(self.place.items(), n))
+        self.used = int(self.start[n - 1] + self.length[n - 1])
+        self.flat, self.start, self.length = (self._fit(x, m) for x, m in ((self.flat, self.used), (self.start, n), (self.length, n)))
+
+    @staticmethod
+    def _fit(old: np.ndarray, n: int) -> np.ndarray:
+        """The first n, in room for as many again."""
+        new = np.zeros(2 * n, old.dtype)
+        new[:n] = old[:n]
+        return new
+
     @staticmethod
     def _room(old: np.ndarray, n: int) -> np.ndarray:
         if n <= len(old):
@@ -140,7 +153,7 @@ class BlockTokens(WordTokens):
         new = [w for w in names if w not in self.place]
         if new and len(self.place) + len(new) > MEMO_PARTS:
             self.forget()
-            new = [w for w in names if w]
+            new = [w for w in names if w not in self.place]
         plain = [self.plain and PLAIN.fullmatch(w) is not None and "<|" not in w for w in new]
         self._learn_plain([w for w, x in zip(new, plain) if x])
         self._learn_parts([w for w, x in zip(new, plain) if not x])

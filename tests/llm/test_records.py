@@ -141,3 +141,22 @@ def test_words_are_encoded_as_by_the_whole_tokenizer():
     slow, machine._learn_parts = [], lambda parts: slow.extend(parts)
     machine.block(["den555-7240 enelleeux*** (262) thshble!! añoñasí'll password=b13d"])
     assert slow == []
+
+
+def test_a_worker_remembers_a_bounded_number_of_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from tarnbeck.llm import word_ids
+
+    monkeypatch.setattr(word_ids, "MEMO_PARTS", 300)
+    monkeypatch.setattr(word_ids, "KEPT_PARTS", 100, raising=False)
+    path, rnd = tokenizer("word_bpe_49k.json"), random.Random(5)
+    machine, whole, most = word_ids.BlockTokens(path), Tokenizer.from_file(path), 0
+    for k in range(30):
+        texts = ["The first words come again. " + " ".join(f"Part{rnd.randint(0, 4000)}\u00e9 {rnd.choice(['x', '字', '<|a'])}{k}" for _ in range(20)) for _ in range(3)]
+        ids, counts = machine.block(texts)
+        assert ids.tolist() == [i for t in texts for i in whole.encode(t, add_special_tokens=False).ids]
+        assert counts.tolist() == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+        most = max(most, len(machine.place))
+        assert "first" in machine.place
+    assert most <= 300 and machine.used <= len(machine.flat) < 1 << 20
