@@ -36,6 +36,15 @@ GROUP_WORDS = 3_000_000
 _SCALE = 1 << 20
 
 
+def _places(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, bytes, list[int]]:
+    """Hashes of a block's different words, their counts, the places of all its words among them (4 bytes each) and where each text's begin and end."""
+    w = Words(buf, offs)
+    hashes, ends = w.hashes(), (4 * w.range).tolist()
+    del w
+    u, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
+    return u, n, at.astype("<u4").tobytes(), ends
+
+
 def word_blocks(docs: DataFrame) -> DataFrame:
     """Of each block of texts, its different words (k, word as a hash, n) and its documents (k, doc_id, at: places of their words among those)."""
     schema = pa.schema([("block", pa.int64()), ("k", pa.int32()), ("word", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("at", pa.binary())])
@@ -44,9 +53,7 @@ def word_blocks(docs: DataFrame) -> DataFrame:
         block = TaskContext.get().partitionId() << 33
         for b in batches:
             for i, j, buf, offs in blocks(b.column("text"), TEXT_BYTES):
-                w = Words(buf, offs)
-                u, at, n = np.unique(w.hashes(), return_inverse=True, return_counts=True)
-                raw, ends = at.astype("<u4").tobytes(), (4 * w.range).tolist()
+                u, n, raw, ends = _places(buf, offs)
                 for x in range(0, len(u), 50_000):
                     m = len(u[x : x + 50_000])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(x, x + m, dtype=np.int32)), pa.array(u[x : x + m].view(np.int64)), pa.array(n[x : x + m].astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=schema)

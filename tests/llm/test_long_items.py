@@ -68,3 +68,26 @@ def test_recall_between_the_bound_and_085(spark):
     got = {(r.doc_id, r.item_id) for r in decontam.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     true = {x[:2] for d in range(300) for x in brute([docs[d]], [items[d]])}
     assert len(true) > 200 and len(got & true) >= 0.97 * len(true) and not got - true
+
+
+def test_words_are_hashed_by_pieces(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    from tarnbeck.llm import grams
+
+    def hashes(texts):
+        raw = [t.encode() for t in texts]
+        return grams.Words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, raw)))]).astype(np.int64)).hashes()
+
+    texts = ["", " a bb a", "ab" * 40, "a\tBB " * 30, "字 é " * 20]
+    whole = hashes(texts)
+    monkeypatch.setattr(grams, "PIECE_BYTES", 7, raising=False)
+    assert (hashes(texts) == whole).all() and len(set(whole.tolist())) == 5
+    monkeypatch.undo()
+    text = "some words " * 400_000
+    tracemalloc.start()
+    hashes([text])
+    assert tracemalloc.get_traced_memory()[1] < 12 * len(text)  # the bytes, flags and places of words among it
+    tracemalloc.stop()
