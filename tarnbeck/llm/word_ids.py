@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 #: Parts that a worker remembers (some 400 bytes each) before it drops all but the KEPT_PARTS that it met first: those
 #: of most use, as frequent parts are met early.
-MEMO_PARTS, KEPT_PARTS = 500_000, 200_000
+MEMO_PARTS, KEPT_PARTS = 250_000, 120_000
 #: A lone full stop or comma behind a letter and before white space: a part of its own for the tokenizer.
 _MARK = r"([a-zß-öø-ÿ])([.,])([ \n]|\z)"
 #: Normalizer and pre-tokenizer that PLAIN and WORD hold for.

@@ -53,3 +53,16 @@ def test_components_are_reckoned_anew_for_new_links_alone(spark, monkeypatch):
     out = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in out) == [(1, 1), (2, 1), (3, 3)]
     assert len(calls) == 1
+
+
+def test_a_packing_worker_remembers_few_parts():
+    from tarnbeck.llm import packing
+    from tarnbeck.llm.queries import tokenizer
+    from tests.llm.test_records import expected
+
+    machine = packing.BlockTokens(tokenizer("word_bpe_49k.json"))
+    for k in range(3):
+        machine.block([" ".join(f"{chr(97 + k)}{i}" for i in range(100_000))])
+    assert 100_000 < len(machine.place) <= 250_000
+    ids, counts = machine.block(["a1 b2", "c99999"])
+    assert counts.tolist() == [n - 1 for _, _, n, _ in expected([(1, "a1 b2"), (2, "c99999")])]
