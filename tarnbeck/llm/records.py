@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.common import Scratch, numbered, slices
-from tarnbeck.llm.word_ids import BlockTokens
+from tarnbeck.llm.common import Scratch, numbered, setting, slices
+from tarnbeck.llm.word_ids import block_tokens
 
 END_ID = 2
 SHARD_BYTES = 4_000_000
 #: Bytes of text that are encoded at a time.
 BLOCK_BYTES = 1_000_000
+#: Rows that Spark hands to an encoding worker at once: both sides hold a batch and its copy in Arrow's memory.
+BATCH_ROWS = 1000
 MAGIC = b"TBREC1"
 _HEAD = len(MAGIC) + 1
 _FRAME = 16
@@ -49,8 +51,6 @@ MASK = 0xA282EAD8
 #: Shards whose sums one task adds up.
 GROUP = 4096
 
-_tokens: dict[str, BlockTokens] = {}
-
 
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -109,9 +109,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     """The shards of docs (doc_id, text), in ascending doc_id order."""
 
     def frames(batches):
-        if tokenizer_path not in _tokens:
-            _tokens[tokenizer_path] = BlockTokens(tokenizer_path)
-        machine = _tokens[tokenizer_path]
+        machine = block_tokens(tokenizer_path)
         width = 2 if max(machine.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         head, end = MAGIC + bytes([width]), np.array([end_id], "<u4")
         parts, size = [head], len(head)
@@ -131,7 +129,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     rows = numbered(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "rid")
     order = [F.col("doc_id").asc_nulls_first(), F.col("rid")]
     shards = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(frames, "shard binary")
-    shards.select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/data")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+        shards.select(F.col("shard").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/data")
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -146,6 +147,7 @@ class BlockTokens(WordTokens):
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one behind another, their number in each text)."""
+        pa.default_memory_pool().release_unused()  # the pool keeps what earlier blocks took
         own = pc.replace_substring_regex(pa.array([self.lowered(t) for t in texts], pa.large_string()), _MARK, r"\1 \2\3")
         split = pc.split_pattern(pc.replace_substring(own, "\n", " "), " ")
         words = split.flatten().dictionary_encode()
@@ -164,3 +166,10 @@ class BlockTokens(WordTokens):
         total = np.append(before, n.sum())
         cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
         return ids, np.diff(total[cuts])
+
+
+@lru_cache(maxsize=1)
+def block_tokens(path: str) -> BlockTokens:
+    """The worker's own, for all its tasks. A task's function is pickled with the values of its module's variables, so
+    that a dictionary there would be a new one in each task; this function is pickled by its name."""
+    return BlockTokens(path)

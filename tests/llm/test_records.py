@@ -160,3 +160,62 @@ def test_a_worker_remembers_a_bounded_number_of_parts(monkeypatch):
         most = max(most, len(machine.place))
         assert "first" in machine.place
     assert most <= 300 and machine.used <= len(machine.flat) < 1 << 20
+
+
+def test_a_batch_is_cut_without_a_copy_of_its_texts():
+    """An encoding worker holds the batch that Spark sent and one block; nulls, empty and longer texts keep their places."""
+    import pyarrow as pa
+
+    from tarnbeck.llm.common import slices
+
+    texts = [None, "", "x" * 70_000, "é" * 40_000, "y" * 900_000] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    before, rows, most = pa.total_allocated_bytes(), [], 0
+    for part in slices([batch.slice(0, 0), batch.slice(1), batch.slice(0, 1)], 200_000):
+        rows += part.column("text").to_pylist()
+        assert part.num_rows == 1 or sum(len((t or "").encode()) for t in part.column("text").to_pylist()) <= 200_000
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert rows == texts[1:] + texts[:1] and most < 100_000 < batch.nbytes
+
+
+def test_writing_hands_over_small_batches_and_leaves_the_setting(spark, tmp_path, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(R, "BATCH_ROWS", 1)
+    R.write_records(frame(spark, ODD).coalesce(1), tokenizer("word_bpe_49k.json"), str(tmp_path / "one"))
+    assert spark.conf.get(key) == before
+    got = R.read_records(spark, str(tmp_path / "one")).orderBy("shard", "offset").collect()
+    assert [(r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in got] == [(i, n, crc) for i, _, n, crc in expected(ODD)]
+
+
+def test_the_tasks_of_a_worker_share_one_tokenizer(monkeypatch):
+    """A task's function is unpickled anew for each task, and so is what it doesn't name by its module."""
+    import pickle
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    from tarnbeck.llm.word_ids import BlockTokens
+
+    class Stop(Exception):
+        pass
+
+    class Frame:
+        def __getattr__(self, name):
+            return self
+
+        def __call__(self, *a):
+            if a and not isinstance(a[0], Frame) and callable(a[0]):
+                raise Stop(a[0])
+            return self
+
+    loads, init, path = [], BlockTokens.__init__, tokenizer("word_bpe_49k.json")
+    monkeypatch.setattr(BlockTokens, "__init__", lambda self, p: loads.append(p) or init(self, p))
+    monkeypatch.setattr(R, "numbered", lambda *a: Frame())
+    monkeypatch.setattr(R.F, "col", lambda name: Frame())
+    with pytest.raises(Stop) as sent:
+        R.write_shards(Frame(), path, "nowhere")
+    raw = cloudpickle.dumps(sent.value.args[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["doc_id", "text"])
+    first, second = ([b.column("shard").to_pylist() for b in pickle.loads(raw)([batch])] for _ in range(2))
+    assert first == second and len(loads) <= 1
