@@ -1,4 +1,4 @@
-"""New folders where all machines share them, and small inputs over all cores."""
+"""New folders and written tables where all machines share them, and small inputs over all cores."""
 
 from __future__ import annotations
 
@@ -20,6 +20,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a new folder: it is made once, and what reads it knows its size. Its shuffles are forgotten."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = fresh_folder(spark, name), spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Inputs of fewer bytes for each core are dealt out before costly work.
 SMALL = 16 << 20
 

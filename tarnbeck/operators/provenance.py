@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as T
+from tarnbeck.functions.shared import written
+
+# Microseconds of a minute and a day; the moment of what has no stamp, before all others.
+MINUTE, DAY = 60_000_000, 86_400_000_000
+NEVER = -(2**62)
 
 
 def cited(pages: DataFrame) -> DataFrame:
@@ -62,19 +67,56 @@ def invalidated(answers: DataFrame, stamps: DataFrame, superseded: DataFrame) ->
     return bad.groupBy("qid").agg(F.min_by("id", "ord").alias("evidence"))
 
 
+def moment(stamp: Column, missing: int = NEVER) -> Column:
+    """Microseconds of a stamp; `missing` without one."""
+    return F.coalesce(F.unix_micros(stamp.cast("timestamp")), F.lit(missing))
+
+
 def first_arrival(answered: DataFrame, arrivals: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """qid, evidence: the first (by ord) arrival of a subscribed kind after the answer (or at any time if unanswered).
+    """qid, evidence: the first (by ord, then id) arrival of a subscribed kind after the answer (or at any time if unanswered)."""
+    asked = answered.select("qid", "section", moment(F.col("answered_at")).alias("at"))
+    met = first_after(asked.select("section", "at").distinct(), arrivals, subscriptions)
+    return asked.join(met, ["section", "at"]).groupBy("qid").agg(F.min("best").alias("best")).select("qid", F.col("best.id").alias("evidence"))
+
+
+def first_after(moments: DataFrame, arrivals: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """section, at, best: of each moment (section, at; each once) the first arrival of a subscribed kind that comes later.
 
-    The first arrival of each kind and day is found once; a question looks at later days there and at single arrivals of
-    its own day alone. A kind's days are bounded by the calendar.
+    Arrivals are read twice, for the least ord and for its least id, and go into groups before they are shuffled: those
+    of a minute with a moment of their kind by instant, others of a day with one by minute, the rest by day. A moment
+    looks at the later days of its kind, the later minutes of its day and the later instants of its minute. So no moment
+    meets single arrivals, the groups are bounded by the moments' days and minutes where these are few, and by the
+    arrivals' instants in any case. An arrival without an ord comes last, its evidence is null.
     """
-    first = arrivals.groupBy("kind", F.to_date("stamp").alias("day")).agg(F.min(F.struct("ord", "id")).alias("best"))
-    days = first.groupBy("kind").agg(F.collect_list(F.struct("day", "best")).alias("days"))
-    asked = answered.join(subscriptions, "section").withColumn("day", F.to_date("answered_at"))
-    later = F.transform(F.filter("days", lambda d: F.col("day").isNull() | (d["day"] > F.col("day"))), lambda d: d["best"])
-    rest = asked.join(days, "kind").select("qid", F.array_min(later).alias("best")).where("best is not null")
-    own = asked.join(arrivals.withColumn("day", F.to_date("stamp")), ["kind", "day"]).where("stamp > answered_at").select("qid", F.struct("ord", "id").alias("best"))
-    return rest.union(own).groupBy("qid").agg(F.min("best").alias("best")).select("qid", F.col("best.id").alias("evidence"))
+    wanted = written(moments.join(subscriptions.distinct(), "section").select("section", "kind", "at").distinct(), "moments")
+    cuts = wanted.select("kind", "at").distinct().withColumn("minute", F.expr(f"at div {MINUTE}")).withColumn("day", F.expr(f"at div {DAY}"))
+    own_day = cuts.select("kind", "day", F.lit(True).alias("own_day")).distinct()
+    own_minute = cuts.select("kind", "minute", F.lit(True).alias("own_minute")).distinct()
+    came = arrivals.where("kind IS NOT NULL").select("kind", moment(F.col("stamp"), NEVER + 1).alias("at"), "ord", "id")
+    came = came.withColumn("minute", F.expr(f"at div {MINUTE}")).withColumn("day", F.expr(f"at div {DAY}"))
+    near = came.join(own_day, ["kind", "day"], "left").join(own_minute, ["kind", "minute"], "left")
+    level = F.when(F.col("own_minute"), 2).when(F.col("own_day"), 1).otherwise(0)
+    unit = F.when(F.col("own_minute"), F.col("at")).when(F.col("own_day"), F.col("minute")).otherwise(F.col("day"))
+    key = ["kind", "level", "unit"]
+    placed = near.select("kind", level.alias("level"), unit.alias("unit"), "ord", "id")
+    least = written(placed.groupBy(*key).agg(F.min("ord").alias("ord")), "least")  # a struct's minimum would sort all rows
+    ids = placed.join(least, [*key, "ord"]).groupBy(*key).agg(F.min("id").alias("id"))
+    best = F.struct(F.isnull("ord").alias("last"), "ord", "id").alias("best")
+    first = written(least.join(ids, key, "left").select(*key, best), "first")
+    instants = first.where("level = 2").select("kind", F.expr(f"unit div {MINUTE}").alias("minute"), F.col("unit").alias("at"), "best")
+    minutes = first.where("level > 0").select("kind", F.expr(f"CASE level WHEN 2 THEN unit div {MINUTE} ELSE unit END").alias("minute"), "best").withColumn("day", F.expr(f"minute div {DAY // MINUTE}"))
+    days = first.select("kind", F.expr(f"CASE level WHEN 2 THEN unit div {DAY} WHEN 1 THEN unit div {DAY // MINUTE} ELSE unit END").alias("day"), "best")
+    found = cuts.join(_later(cuts, days, ["kind"], "day"), ["kind", "day"]).join(_later(cuts, minutes, ["kind", "day"], "minute"), ["kind", "minute"]).join(_later(cuts, instants, ["kind", "minute"], "at"), ["kind", "at"])
+    each = found.select("kind", "at", F.least("later_day", "later_minute", "later_at").alias("best")).where("best IS NOT NULL")
+    return wanted.join(each, ["kind", "at"]).groupBy("section", "at").agg(F.min("best").alias("best"))
+
+
+def _later(cuts: DataFrame, rows: DataFrame, within: list[str], unit: str) -> DataFrame:
+    """kind, unit, later_<unit>: the best of the later units within the same kind, day or minute."""
+    none = F.lit(None).cast(rows.schema["best"].dataType).alias("best")
+    each = cuts.select(*within, unit, none).union(rows.select(*within, unit, "best")).groupBy(*within, unit).agg(F.min("best").alias("best"))
+    w = Window.partitionBy(*within).orderBy(F.desc(unit)).rowsBetween(Window.unboundedPreceding, -1)
+    return each.select(*within, unit, F.min("best").over(w).alias(f"later_{unit}")).select("kind", unit, f"later_{unit}")
 
 
 def ids_with_suffix(wanted: DataFrame) -> DataFrame:
