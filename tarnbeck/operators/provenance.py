@@ -108,7 +108,7 @@ def first_after(moments: DataFrame, arrivals: DataFrame, subscriptions: DataFram
     days = first.select("kind", F.expr(f"CASE level WHEN 2 THEN unit div {DAY} WHEN 1 THEN unit div {DAY // MINUTE} ELSE unit END").alias("day"), "best")
     found = cuts.join(_later(cuts, days, ["kind"], "day"), ["kind", "day"]).join(_later(cuts, minutes, ["kind", "day"], "minute"), ["kind", "minute"]).join(_later(cuts, instants, ["kind", "minute"], "at"), ["kind", "at"])
     each = found.select("kind", "at", F.least("later_day", "later_minute", "later_at").alias("best")).where("best IS NOT NULL")
-    return wanted.join(each, ["kind", "at"]).groupBy("section", "at").agg(F.min("best").alias("best"))
+    return written(wanted.join(each, ["kind", "at"]).groupBy("section", "at").agg(F.min("best").alias("best")), "met")
 
 
 def _later(cuts: DataFrame, rows: DataFrame, within: list[str], unit: str) -> DataFrame:

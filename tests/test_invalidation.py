@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnbeck.operators.invalidation import Invalidation, applied
+from tests.test_arrivals import nodes
 
 
 def walk(sources, artifacts, questions, subscriptions, pages, references):
@@ -98,3 +99,24 @@ def test_equal_stamps_are_fresh_and_empty_tables_give_nothing(spark):
     case = ([(1, None)], [(7, "a", 0, day)], [(1, "x", "answered", day, 0)], [("x", "a")], [(1, "x", 0)], [("question", 1, 0, 7, day), ("page", 1, 0, 7, day)])
     assert Invalidation(*frames(spark, case)).report().collect() == []
     assert Invalidation(*frames(spark, [[]] * 6)).report().collect() == []
+
+
+def test_questions_of_a_day_do_not_meet_its_artifacts_one_by_one(spark):
+    import datetime
+
+    day, n = datetime.datetime(2024, 1, 1), 300
+    questions = [(q, "x", "answered", day + datetime.timedelta(seconds=q), q) for q in range(n)]
+    artifacts = [(i, "a", n - i, day + datetime.timedelta(seconds=i, milliseconds=500)) for i in range(n)]
+    causes = Invalidation(*frames(spark, ([], artifacts, questions, [("x", "a")], [], []))).causes()
+    assert {(r.hash, r.evidence) for r in causes.collect()} == {(q, n - 1) for q in range(n)}
+    made = [p.metrics().apply("numOutputRows").value() for p in nodes(causes._jdf.queryExecution().executedPlan()) if "Join" in p.nodeName() and p.metrics().contains("numOutputRows")]
+    assert made and 0 < max(made) <= 2 * n  # not n * n / 2
+
+
+def test_rows_of_one_hash_are_one_question(spark):
+    import datetime
+
+    day = [datetime.datetime(2024, 1, d) for d in (1, 2, 3)]
+    questions = [(1, "x", "answered", day[1], 0), (1, "y", "answered", day[0], 0)]
+    case = ([], [(7, "a", 1, day[2]), (8, "b", 0, day[1])], questions, [("x", "a"), ("y", "b")], [], [])
+    assert {(r.hash, r.section, r.evidence) for r in Invalidation(*frames(spark, case)).reopened().collect()} == {(1, "x", 8), (1, "y", 8)}
